@@ -147,7 +147,7 @@ def encode(tiles: DataFrame, tile_size: int, bands: int, kind: str, quality: int
                 else:
                     data.append(codec.encode_png(px))
                     alphas.append(b"")
-            yield type(pdf)({"zoom_level": pdf["z"], "tile_column": pdf["x"], "tile_row": (1 << pdf["z"]) - 1 - pdf["y"], "tile_data": data, "tile_alpha": alphas})
+            yield type(pdf)({"zoom_level": pdf["z"], "tile_column": pdf["x"], "tile_row": np.left_shift(1, pdf["z"].to_numpy()) - 1 - pdf["y"], "tile_data": data, "tile_alpha": alphas})
 
     return tiles.mapInPandas(run, "zoom_level int, tile_column int, tile_row int, tile_data binary, tile_alpha binary")
 
@@ -166,6 +166,6 @@ def decode(stored: DataFrame, tile_size: int, bands: int) -> DataFrame:
                 else:
                     px = codec.decode_png(data)
                 out.append(px.tobytes())
-            yield type(pdf)({"z": pdf["zoom_level"], "x": pdf["tile_column"], "y": (1 << pdf["zoom_level"]) - 1 - pdf["tile_row"], "buf": out})
+            yield type(pdf)({"z": pdf["zoom_level"], "x": pdf["tile_column"], "y": np.left_shift(1, pdf["zoom_level"].to_numpy()) - 1 - pdf["tile_row"], "buf": out})
 
     return stored.select("zoom_level", "tile_column", "tile_row", "tile_data", "tile_alpha").mapInPandas(run, TILE_SCHEMA)

@@ -75,6 +75,7 @@ class MBTilesSource(DataSource):
 
 
 def read_mbtiles(spark: SparkSession, path: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader refuses to run without it
     spark.dataSource.register(MBTilesSource)
     return spark.read.format("mbtiles").load(path)
 
