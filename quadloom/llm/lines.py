@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     number of lines before and the deleted ones (array<int>, ascending).
 
     A run is a stretch of lines with at least `min_words` words in all; lines without a word are passed over when runs are
-    compared and go with the run that surrounds them. The first occurrence, by doc_id (null last), a hash of the text and line,
+    compared and go with a shortest run that surrounds them. The first occurrence, by doc_id (null last), a hash of the text and line,
     stays. Fully equal rows count as one occurrence and stay alike. Null texts stay null; a text may become empty. Other columns
     are untouched.
     """
