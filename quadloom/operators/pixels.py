@@ -67,3 +67,15 @@ def parents(pixels: DataFrame, tile: int) -> DataFrame:
     down = _spread(canvas, ["p", "q", "x"], "y", ["g", "a"], tile)
     across = _spread(down, ["p", "q", "y"], "x", ["g", "a"], tile)
     return across.select("p", "q", "x", "y", rounded("g").alias("g"), rounded("a").alias("a"))
+
+
+def with_alpha(pixels: DataFrame, edges) -> DataFrame:
+    """pixels (px, py and colour) with a: 255 where the pixel's centre lies inside the polygon of `edges` (x1, y1, x2, y2 in pixels,
+    by even-odd crossings), else 0."""
+    x, y = F.col("px") + 0.5, F.col("py") + 0.5
+    crossings = F.lit(0)
+    for x1, y1, x2, y2 in edges:
+        if y1 != y2:
+            hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            crossings = crossings + F.when(hit, 1).otherwise(0)
+    return pixels.withColumn("a", F.when(crossings % 2 == 1, 255).otherwise(0))

@@ -169,3 +169,33 @@ def decode(stored: DataFrame, tile_size: int, bands: int) -> DataFrame:
             yield type(pdf)({"z": pdf["zoom_level"], "x": pdf["tile_column"], "y": np.left_shift(1, pdf["zoom_level"].to_numpy()) - 1 - pdf["tile_row"], "buf": out})
 
     return stored.select("zoom_level", "tile_column", "tile_row", "tile_data", "tile_alpha").mapInPandas(run, TILE_SCHEMA)
+
+
+def from_pixels(pixels: DataFrame, z: int, tile_size: int) -> DataFrame:
+    """z, x, y, buf of the tiles with data of a relational gray+alpha raster (tx, ty, ix, iy, g, a)."""
+
+    def pack(batches):
+        for pdf in batches:
+            bufs = []
+            for cells in pdf["cells"]:
+                px = np.zeros((tile_size, tile_size, 2), np.uint8)
+                for c in cells:
+                    px[c["iy"], c["ix"]] = c["g"], c["a"]
+                bufs.append(px.tobytes())
+            yield type(pdf)({"z": z, "x": pdf["tx"], "y": pdf["ty"], "buf": bufs})
+
+    tiles = pixels.groupBy("tx", "ty").agg(F.collect_list(F.struct("ix", "iy", "g", "a")).alias("cells"), F.max("a").alias("most")).where("most > 0")  # tile_size^2 cells
+    return tiles.select("tx", "ty", "cells").mapInPandas(pack, TILE_SCHEMA)
+
+
+def to_pixels_table(tiles: DataFrame, tile_size: int) -> DataFrame:
+    """p, q (tile), x, y, g, a of gray+alpha buffers, one row a pixel."""
+
+    def unpack(batches):
+        y, x = (v.ravel() for v in np.mgrid[:tile_size, :tile_size])
+        for pdf in batches:
+            for p, q, buf in zip(pdf["x"], pdf["y"], pdf["buf"], strict=True):
+                px = np.frombuffer(buf, np.uint8).reshape(-1, 2)
+                yield type(pdf)({"p": int(p), "q": int(q), "x": x, "y": y, "g": px[:, 0], "a": px[:, 1]})
+
+    return tiles.mapInPandas(unpack, "p int, q int, x int, y int, g int, a int")

@@ -9,6 +9,9 @@ ZOOM, TILE, RASTER_ZOOM = 12, 16, 6
 #: Corners of the bounding polygon, in tiles of ZOOM.
 TRIANGLE = ((2210.5, 1402.5), (2380.25, 1440.5), (2250.75, 1490.5))
 
+#: A polygon in pixels of the raster, as edges.
+MASK_EDGES = ((5.25, 10.25, 60.5, 40.75), (60.5, 40.75, 30.5, 300.25), (30.5, 300.25, 5.25, 10.25))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import crs
 from quadloom.functions import tiles as t
 from quadloom.functions.resample import HALF_UP, taps
-from quadloom.operators import keys, pixels
+from quadloom.operators import keys, pixels, pyramid
 from quadloom.plans import fixtures as fx
 from quadloom.streaming import stats
 
@@ -203,6 +203,22 @@ def q22_lanczos_tile_local(spark, sf_dir):
     return pixels.parents(raster.join(data, ["tx", "ty"], "left_semi"), TS)
 
 
+@query(SQL["q22_lanczos_tile_local"])
+def q22b_lanczos_buffers(spark, sf_dir):
+    """The same parents by the build's own path: byte buffers, reduced in numpy."""
+    raster = pixels.masked(fx.raster(spark, sf_dir))
+    return pyramid.to_pixels_table(pyramid.subtree(pyramid.from_pixels(raster, RZ, TS), TS, 2, 1), TS)
+
+
+@query(f"WITH {RASTER}, {TILES}, closed AS (SELECT DISTINCT CAST({RZ} - k AS INT) AS z, CAST(tx >> k AS INT) AS x, CAST(ty >> k AS INT) AS y FROM (SELECT tx, ty, CAST(unnest(generate_series(0, {RZ})) AS INT) AS k FROM tiles WHERE has_data)) SELECT * FROM closed")
+def q24b_pyramid_levels(spark, sf_dir):
+    """Keys of all buffers of a pyramid over the raster's tiles with data, climbed several zooms a shuffle."""
+    base = pyramid.from_pixels(pixels.masked(fx.raster(spark, sf_dir)), RZ, TS)
+    low = pyramid.subtree(base, TS, 2, 4)
+    top = pyramid.subtree(low.where(F.col("z") == RZ - 4), TS, 2, RZ - 4)
+    return base.unionByName(low).unionByName(top).select("z", "x", "y")
+
+
 _METRES = lambda v: f"CAST(floor({v}) AS BIGINT)"
 
 
@@ -226,6 +242,15 @@ def q24_tiles_table(spark, sf_dir):
     return tiles.select(F.lit(RZ).alias("zoom_level"), F.col("tx").alias("tile_column"), t.reversed_y(F.lit(RZ), "ty").alias("tile_row"), "tile_data")
 
 
+_IN = " + ".join(f"CASE WHEN ({y1!r} > py + 0.5) <> ({y2!r} > py + 0.5) AND px + 0.5 < ({x2!r} - {x1!r}) * (py + 0.5 - {y1!r}) / ({y2!r} - {y1!r}) + {x1!r} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in fx.MASK_EDGES)
+
+
+@query(f"WITH {RASTER} SELECT px, py, g, CAST(CASE WHEN ({_IN}) % 2 = 1 THEN 255 ELSE 0 END AS INT) AS a FROM raster")
+def q31_polygon_mask(spark, sf_dir):
+    """A polygon burnt into the raster as its alpha band."""
+    return pixels.with_alpha(fx.raster(spark, sf_dir).drop("a"), fx.MASK_EDGES).select("px", "py", "g", "a")
+
+
 @query(f"WITH {STATS} SELECT metric, CAST(sum(d) AS BIGINT) AS total, count(*) AS n, CAST(sum(d) AS BIGINT) || '/' || count(*) || '=' || CAST(sum(d) // count(*) AS BIGINT) AS label FROM stats GROUP BY metric")
 def q25_stats_by_metric(spark, sf_dir):
     return stats.by_metric(fx.statistics(spark, sf_dir))

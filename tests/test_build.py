@@ -174,3 +174,16 @@ def test_empty_inputs(spark):
     assert keys.closure(none, 4).isEmpty() and keys.limits(none).isEmpty() and keys.z_order_position(none).isEmpty() and keys.task_groups(none, 3).isEmpty()
     assert stats.throttled(spark.createDataFrame([], "t long, d long")).isEmpty()
     assert stats.by_metric(spark.createDataFrame([("warp", 3)], "metric string, d long")).first().label == "3/1=3"
+
+
+def test_command_line():
+    from quadloom.__main__ import parse
+
+    options, out = parse(["a", "b", "--max-zoom", "7", "--no-insert-empty", "--format", "png", "--mbtiles", "m"])
+    assert options == TilerOptions("a", "b", 7, insert_empty=False, format="png") and out == "m"
+    with pytest.raises(SystemExit):
+        parse(["a", "b"])
+    for bad in ({"format": "gif"}, {"max_zoom": 40}, {"jpeg_quality": 0}, {"limits_scope": "x"}):
+        with pytest.raises(ValueError):
+            TilerOptions(**({"source": "a", "target": "b", "max_zoom": 3} | bad)).checked()
+    assert TilerOptions("a", "b", 2).checked().warp_zoom_offset == 2
