@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import slices, table, text_of
+from quadloom.llm.common import slices, small_batches, table, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts over so many characters are cut at safe boundaries.
@@ -78,7 +78,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, piece_chars: int = PI
             ids = [encode_text(enc, x, piece_chars) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(little_endian, ids), pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
             raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+    return small_batches(encoded).select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

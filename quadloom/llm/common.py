@@ -30,6 +30,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch that goes to Python workers; with several workers an executor, larger ones add up.
+BATCH = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name], F.lit(""))
 

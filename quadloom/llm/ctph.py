@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import saved, slices, table, text_of
+from quadloom.llm.common import saved, slices, small_batches, table, text_of
 
 WINDOW = 7
 LEAST_BLOCK = 3
@@ -103,7 +103,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints([x.encode() for x in batch.column(1).to_pylist()]), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -175,7 +175,7 @@ def edits(docs: DataFrame) -> DataFrame:
 
     order = F.col("doc_id").desc_nulls_last()
     spark = docs.sparkSession
-    walked = saved(docs.select("doc_id", text_of(docs).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text").mapInArrow(walk, T.StructType([*fields, *more])))
+    walked = saved(small_batches(docs).select("doc_id", text_of(docs).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text").mapInArrow(walk, T.StructType([*fields, *more])))
     parts = sorted(r[0] for r in walked.where("kind = 'first'").select("part").collect())  # one number a partition
     if not parts:
         return walked.select(names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import saved, slices, table
+from quadloom.llm.common import saved, slices, small_batches, table
 
 #: Share of a host's pages on which a template token occurs.
 SUPPORT = 0.5
@@ -171,7 +171,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])], schema.names)
 
     # 31-bit page hashes: sums of count x hash stay inside a long
-    rows = pages.select("url", F.coalesce("html", F.lit("")).alias("html"), F.shiftrightunsigned(F.xxhash64("page_id", "url"), 33).cast("long").alias("page")).mapInArrow(run, schema)
+    rows = small_batches(pages).select("url", F.coalesce("html", F.lit("")).alias("html"), F.shiftrightunsigned(F.xxhash64("page_id", "url"), 33).cast("long").alias("page")).mapInArrow(run, schema)
     return rows.groupBy("host", "token").agg(F.count("*").alias("n_pages"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
 
 

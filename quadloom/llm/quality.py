@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import saved, slices, table, text_of
+from quadloom.llm.common import saved, slices, small_batches, table, text_of
 
 #: Share of the pooled covariance in each class's, and of the identity (times the mean variance) in the result.
 POOLED, RIDGE = 0.1, 0.02
@@ -69,7 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -212,7 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = model.score(np.array(rows).reshape(-1, N_FEATURES)) >= 0.5 if model else np.ones(len(rows), bool)
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

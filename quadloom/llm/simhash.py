@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import saved, slices, table, text_of
+from quadloom.llm.common import saved, slices, small_batches, table, text_of
 from quadloom.llm.graph import connected_components
 
 BITS, SEED = 64, 42
@@ -62,7 +62,7 @@ def fingerprint(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = np.array([simhash(x.encode(), width) for x in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.xxhash64(docs["text"]).alias("h"), text_of(docs).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", F.xxhash64(docs["text"]).alias("h"), text_of(docs).alias("text")).mapInArrow(run, schema)
 
 
 def _planes(fps):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.bpe import RANKS, encode_text, encoding
-from quadloom.llm.common import slices, table, text_of
+from quadloom.llm.common import slices, small_batches, table, text_of
 
 RULES = ("majority", "first", "last")
 #: The section number of tokens that touch no section.
@@ -64,7 +64,7 @@ def section_token_counts(docs: DataFrame, rule: str = "majority", sections: str
     names = ["section", "start_char", "end_char", "n_tokens", "n_crossing"]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names)])
     given = sections is not None
-    picked = docs.select("doc_id", text_of(docs).alias("text"), *([docs[sections].alias("spans")] if given else []))
+    picked = small_batches(docs).select("doc_id", text_of(docs).alias("text"), *([docs[sections].alias("spans")] if given else []))
 
     def run(batches):
         import numpy as np
