@@ -3,11 +3,18 @@
 Fingerprints that differ in at most `radius` bits agree on some BLOCKS - radius of BLOCKS bit blocks. Each distinct fingerprint
 is filed under every such choice. Within a bucket, bit planes are stored vertically, one machine word holding one bit of 64
 fingerprints; the distances of all fingerprints to their s-th neighbours are counted at once by carry-save bitwise counters,
-and words whose lanes all exceed the radius are abandoned. Buckets over `max_bucket` fingerprints take an exact linear way.
+and words whose lanes all exceed the radius, or are joined already, are abandoned. Buckets over `max_bucket` fingerprints take an
+exact linear way.
+
+Beside these exact links at a few bits, `similar` finds near-duplicates of five-word shingles at 80 % of equal bits, by the same
+comparison: there no choice of blocks is exact and cheap, so buckets come from sampled bits, with as many tables as a stated
+recall needs.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +32,13 @@ MAX_BUCKET = 1 << 15
 #: Planes between two looks at which words can be abandoned.
 STRIDE = 8
 
+#: `similar`: words a shingle and the least share of equal bits.
+SHINGLE, SHARE = 5, 0.8
+#: Bits a table's key samples at least (more as the corpus grows), and the chance that a pair whose key fingerprints agree in
+#: KEY_SHARE of their bits meets in some table.
+KEY_BITS, KEY_SHARE, CHANCE = 20, 0.87, 0.99
+TABLE_SEED = 6
+
 
 def simhash(raw: bytes, width: int = WIDTH) -> int:
     """The fingerprint of UTF-8 text: bits set in over half of the XXH64 of its word shingles; 0 without words."""
@@ -65,20 +79,81 @@ def fingerprint(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return small_batches(docs).select("doc_id", F.xxhash64(docs["text"]).alias("h"), text_of(docs).alias("text")).mapInArrow(run, schema)
 
 
+def mixed(x):
+    """The finaliser of SplitMix64 over a uint64 array: a hash of each element."""
+    import numpy as np
+
+    u = np.uint64
+    x = x + u(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))
+
+
+def vote(hashes) -> int:
+    """Bits set in over half of the hashes; a tie takes a bit that depends on all of them."""
+    import numpy as np
+
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    tie = np.unpackbits(mixed(hashes.sum(dtype=np.uint64, keepdims=True)).view(np.uint8), bitorder="little").astype(bool)
+    bits = (2 * counts > len(hashes)) | ((2 * counts == len(hashes)) & tie)
+    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+
+
+def wide_simhash(raw: bytes, shingle: int = SHINGLE) -> tuple[int, int, int]:
+    """A 64-bit fingerprint of word pairs, for keys, and 128 bits of `shingle`-word shingles, for comparison; 0 without words."""
+    import numpy as np
+    import xxhash
+
+    words = raw.lower().split()
+    if not words:
+        return 0, 0, 0
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+
+    def shingles(width):
+        n = len(own) - min(width, len(own)) + 1
+        out = own[:n]
+        for j in range(1, len(own) - n + 1):
+            out = mixed(out) ^ own[j : j + n]
+        return mixed(out)
+
+    long = shingles(shingle)
+    return vote(shingles(2)), vote(long), vote(mixed(long))
+
+
+def wide_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, h (as in fingerprint), key, a, b (the words of wide_simhash as signed longs) of each row."""
+    names = ("key", "a", "b")
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("h", *names))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            fps = np.array([wide_simhash(x.encode(), shingle) for x in batch.column(2).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fps[:, i]) for i in range(3))], schema.names)
+
+    return small_batches(docs).select("doc_id", F.xxhash64(docs["text"]).alias("h"), text_of(docs).alias("text")).mapInArrow(run, schema)
+
+
 def _planes(fps):
-    """(64, words) array: bit i of word w of plane b is bit b of fingerprint 64 w + i; one zero word at the end."""
+    """(64 x columns, words) array: bit i of word w of plane b is bit b of fingerprint 64 w + i; one zero word at the end."""
     import numpy as np
 
-    padded = np.zeros((len(fps) + 127) // 64 * 64, np.uint64)
+    padded = np.zeros(((len(fps) + 127) // 64 * 64, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def linked(fps, ends, radius: int):
     """For sorted buckets of fingerprints, the least row of each row's component inside its bucket.
 
-    fps: uint64 array; ends: for each row, the end of its bucket.
+    fps: uint64 array, (rows, columns of 64 bits); ends: for each row, the end of its bucket. Pairs that are in one component
+    already are not compared again.
     """
     import numpy as np
 
@@ -93,18 +168,21 @@ def linked(fps, ends, radius: int):
         return i
 
     n_counters = (radius + 1).bit_length()
+    last = planes.shape[1] - 1
     for s in range(1, int(left.max(initial=0))):
         lanes = np.zeros(planes.shape[1] * 64, bool)
-        lanes[:n] = left > s
+        lanes[: n - s] = (left[: n - s] > s) & (label[: n - s] != label[s:])
         valid = np.packbits(lanes, bitorder="little").view(np.uint64)
         words = np.nonzero(valid)[0]
         valid = valid[words]
         jump, shift = s // 64, np.uint64(s % 64)
         counters, over = [np.zeros(len(words), np.uint64) for _ in range(n_counters)], ~valid
-        for b in range(BITS):
-            low = planes[b, np.minimum(words + jump, planes.shape[1] - 1)]
+        for b in range(len(planes)):
+            if not len(words):
+                break
+            low = planes[b, np.minimum(words + jump, last)]
             if shift:
-                low = (low >> shift) | (planes[b, np.minimum(words + jump + 1, planes.shape[1] - 1)] << (np.uint64(64) - shift))
+                low = (low >> shift) | (planes[b, np.minimum(words + jump + 1, last)] << (np.uint64(64) - shift))
             carry = planes[b, words] ^ low
             for k in range(n_counters):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
@@ -122,38 +200,21 @@ def linked(fps, ends, radius: int):
                 keep = np.nonzero(~over)[0]
                 if len(keep) < len(words):
                     words, over, counters = words[keep], over[keep], [c[keep] for c in counters]
-                if not len(words):
-                    break
         if len(words):
             hit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            rows = (words[:, None] * 64 + np.arange(64))[hit]
-            rows = rows[label[rows] != label[rows + s]]
-            for i in rows.tolist():
+            for i in (words[:, None] * 64 + np.arange(64))[hit].tolist():
                 a, z = find(i), find(i + s)
                 if a != z:
                     parent[max(a, z)] = min(a, z)
-            if len(rows):
-                label = np.array(parent)
-                while (label[label] != label).any():
-                    label = label[label]
+            label = np.array(parent)
+            while (label[label] != label).any():
+                label = label[label]
     return label
 
 
-def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """u, v: edges between distinct fingerprints (column fp, long), whose components are those of all pairs within `radius`.
-
-    Each bucket gives a spanning forest of its pairs, never all of them.
-    """
-    masks, free = [], []
-    edges_of = [sum(BLOCKS[:i]) for i in range(len(BLOCKS) + 1)]
-    for chosen in combinations(range(len(BLOCKS)), len(BLOCKS) - radius):
-        mask = sum(((1 << BLOCKS[i]) - 1) << edges_of[i] for i in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-        free.append([b for b in range(BITS) if not mask >> b & 1])
-    spark = fps.sparkSession
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("c", "k"))
-    crowded = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket).select("c", "k")
-    crowded = saved(crowded)
+def bucket_edges(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
+    """Edges between fingerprints (long `columns`) that share a bucket (c, k) and differ in at most `radius` bits: u_ and v_ of each
+    column. A bucket gives a spanning forest of its pairs, never all of them; it is held in one task as 8 bytes a column."""
 
     def compare(batches):
         import numpy as np
@@ -161,34 +222,51 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
 
         held = None
 
-        def flush(c, k, fp):
-            new = np.ones(len(fp), bool)
+        def flush(c, k, *fp):
+            new = np.ones(len(c), bool)
             new[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-            bounds = np.append(np.nonzero(new)[0], len(fp))
+            bounds = np.append(np.nonzero(new)[0], len(c))
             sizes = np.diff(bounds)
             several = np.repeat(sizes > 1, sizes)
-            fp, sizes = fp[several], sizes[sizes > 1]
-            if not len(fp):
-                return None
-            label = linked(fp.view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
-            joined = np.nonzero(label != np.arange(len(fp)))[0]
-            return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[label[joined]])], ["u", "v"])
+            fps, sizes = np.stack(fp, axis=1)[several], sizes[sizes > 1]
+            label = linked(fps.view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
+            joined = np.nonzero(label != np.arange(len(fps)))[0]
+            ends = (fps[joined], fps[label[joined]])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for e in ends for i in range(len(columns))], names)
 
         for batch in batches:
-            now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "k", "fp")]
+            now = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(batch.num_columns)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if len(held[0]) >= 4 * 10_000:  # all but the last bucket is complete
-                c, k, _ = held
+            if len(held[0]) >= 1 << 16:  # all but the last bucket is complete
+                c, k = held[:2]
                 cut = int(np.nonzero((c != c[-1]) | (k != k[-1]))[0].max(initial=-1)) + 1
-                if cut and (out := flush(*(x[:cut] for x in held))):
-                    yield out
+                if cut:
+                    yield flush(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
-        if held is not None and (out := flush(*held)):
-            yield out
+        if held is not None:
+            yield flush(*held)
+
+    names = [f"{e}_{x}" for e in "uv" for x in columns]
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small_batches(keyed).select("c", "k", *columns).repartition(parts, "c", "k").sortWithinPartitions("c", "k", *columns)
+    return dealt.mapInArrow(compare, ", ".join(f"{x} long" for x in names))
+
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """u, v: edges between distinct fingerprints (column fp, long), whose components are those of all pairs within `radius`.
+
+    Each bucket gives a spanning forest of its pairs, never all of them.
+    """
+    masks, free = [], []
+    edges_of = [sum(BLOCKS[:i]) for i in range(len(BLOCKS) + 1)]
+    for chosen in combinations(range(len(BLOCKS)), len(BLOCKS) - radius):
+        mask = sum(((1 << BLOCKS[i]) - 1) << edges_of[i] for i in chosen)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+        free.append([b for b in range(BITS) if not mask >> b & 1])
+    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("c", "k"))
+    crowded = saved(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket).select("c", "k"))
     usual = keyed if crowded.isEmpty() else keyed.join(crowded, ["c", "k"], "left_anti")
-    found = usual.select("c", "k", "fp").repartition(parts, "c", "k").sortWithinPartitions("c", "k", "fp").mapInArrow(compare, "u long, v long")
+    found = bucket_edges(usual, ["fp"], radius).select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
     if not crowded.isEmpty():
         # two fingerprints within the radius agree once the same `radius` of the free bits are cleared
         cleared = F.array(*(F.array(*(F.lit(_signed(~sum(1 << b for b in bits))).cast("long") for bits in combinations(own, radius))) for own in free))
@@ -203,6 +281,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, h, fp, root, component_id of own (doc_id, h, fp) with edges (u, v) between its fps."""
+    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    firsts = saved(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return own.join(firsts.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
 def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, h, fp, root, component_id: the least doc_id that links of fingerprints within `radius` bits reach.
 
@@ -210,19 +297,49 @@ def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, max_bu
     a null doc_id are members like others; if no member has an id, component_id is null. Repeated rows stay.
     """
     own = saved(fingerprint(docs, width))
-    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(firsts.select("fp"), radius, max_bucket)).withColumnRenamed("node", "fp")
-    firsts = saved(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(firsts.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+    return _grouped(own, links(own.select("fp").distinct(), radius, max_bucket))
+
 
+def tables(n: int, seed: int = TABLE_SEED) -> list[int]:
+    """Masks of the key bits of each table for n distinct fingerprints: more bits for more of them, so that buckets of unrelated
+    texts stay small, and as many tables as CHANCE asks for at that width."""
+    width = min(48, max(KEY_BITS, n.bit_length() - 4))
+    number = math.ceil(math.log(1 - CHANCE) / math.log(1 - KEY_SHARE**width))
+    rnd = random.Random(seed)
+    return [_signed(sum(1 << b for b in rnd.sample(range(BITS), width))) for _ in range(number)]
 
-def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+
+def similar(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Components as in components(), of texts whose 128-bit fingerprints of five-word shingles agree in `share` of their bits.
+
+    Pairs are compared where sampled bits of their word-pair fingerprints agree, in as many tables as `tables` says; recall is
+    that of those tables, at any size. A bucket over max_bucket is dealt in blocks by a hash that differs by table; about 64 of its
+    rows go to every block and tie the blocks together.
+    """
+    own = saved(wide_fingerprint(docs, shingle).select("doc_id", "h", "key", "a", "b", F.xxhash64("a", "b").alias("fp")))
+    distinct = saved(own.select("key", "a", "b").distinct())
+    masks = tables(distinct.count())
+    keyed = distinct.select("a", "b", F.posexplode(F.array(*(F.col("key").bitwiseAND(F.lit(m)) for m in masks))).alias("c", "k"))
+    crowded = saved(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
+    usual = keyed
+    if not crowded.isEmpty():
+        place = F.xxhash64("a", "b", "c")
+        blocks = F.ceil(F.col("n") / max_bucket)
+        tie = F.pmod(place, F.greatest(F.lit(1), F.floor(F.col("n") / 64))) == 0
+        own_block = F.array(F.pmod(F.xxhash64("b", "a", "c"), blocks))
+        each = F.explode(F.when(tie, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own_block)).alias("block")
+        split = keyed.join(crowded, ["c", "k"]).select("a", "b", "c", "k", each).select("a", "b", "c", F.xxhash64("k", "block").alias("k"))
+        usual = keyed.join(crowded, ["c", "k"], "left_anti").select("a", "b", "c", "k").union(split)
+    edges = bucket_edges(usual, ["a", "b"], math.floor((1 - share) * 2 * BITS))
+    return _grouped(own.select("doc_id", "h", "fp"), edges.select(F.xxhash64("u_a", "u_b").alias("u"), F.xxhash64("v_a", "v_b").alias("v")))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs, one of each component: that with the least doc_id (null last), at a tie any one text of that id.
 
-    Columns stay as they are, clashing names included.
+    groups: components() or similar() of docs; the latter if None. Columns stay as they are, clashing names included.
     """
-    groups = saved(components(docs, width, radius).select("doc_id", "h", "root"))
+    groups = saved((similar(docs) if groups is None else groups).select("doc_id", "h", "root"))
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("__ql_id"), F.col("k.h").alias("__ql_h"))
     one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__ql_id"]) & (F.xxhash64(docs["text"]) == kept["__ql_h"]), "left_semi")
     repeated = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")

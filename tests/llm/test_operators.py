@@ -258,7 +258,7 @@ def test_bit_slices_with_many_buckets():
             fps.append(f)
         ends += [len(fps)] * n
     for radius in (0, 1, 2, 3):
-        label = simhash.linked(np.array(fps, np.uint64), np.array(ends), radius)
+        label = simhash.linked(np.array(fps, np.uint64)[:, None], np.array(ends), radius)
         for a in sorted(set(ends)):
             own = [i for i, e in enumerate(ends) if e == a]
             want = brute.components(own, lambda i, j, r=radius: (fps[i] ^ fps[j]).bit_count() <= r)
@@ -266,14 +266,45 @@ def test_bit_slices_with_many_buckets():
 
 
 def test_keep_one(odd, none, corpus):
-    got = simhash.keep_one(odd)
-    assert got.columns == odd.columns
-    # 0: "", null and blank texts; the repeated row once; others alone
-    assert sorted((r.doc_id, (r.text or "")[:5]) for r in got.collect() if r.doc_id is not None) == [(0, ""), (3, "One t"), (4, "naïve"), (5, "w0 w1"), (6, "xxxxx"), (7, "a b c")]
-    assert [r.text for r in got.where("doc_id is null").collect()] == ["no id"]
-    ids = {r.component_id for r in simhash.components(corpus).collect()}
+    for groups in (lambda d: simhash.similar(d), lambda d: simhash.components(d)):
+        got = simhash.keep_one(odd, groups(odd))
+        assert got.columns == odd.columns
+        # 0: "", null and blank texts; the repeated row once; others alone
+        assert sorted((r.doc_id, (r.text or "")[:5]) for r in got.collect() if r.doc_id is not None) == [(0, ""), (3, "One t"), (4, "naïve"), (5, "w0 w1"), (6, "xxxxx"), (7, "a b c")]
+        assert [r.text for r in got.where("doc_id is null").collect()] == ["no id"]
+        assert simhash.keep_one(none, groups(none)).isEmpty()
+    ids = {r.component_id for r in simhash.similar(corpus).collect()}
     assert {r.doc_id for r in simhash.keep_one(corpus).collect()} == ids
-    assert simhash.keep_one(none).isEmpty()
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("limit", [40, simhash.MAX_BUCKET])
+def test_similar_texts_meet_and_others_do_not(spark, limit):
+    rnd = random.Random(11)
+    texts = [[f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([12, 60, 300]))] for _ in range(120)]
+    texts += [[w if rnd.random() > 0.01 else "edit" for w in texts[k % 40]] for k in range(160)]
+    texts += [[w if rnd.random() > 0.004 else f"e{k}" for w in texts[2]] for k in range(150)]
+    texts = [" ".join(t) for t in texts]
+    own = [shingles(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows_of(texts), DOCS), max_bucket=limit).collect()}
+    like = lambda a, b: len(own[a] & own[b]) / len(own[a] | own[b])
+    pairs = {(a, b): like(a, b) for a in range(len(texts)) for b in range(a)}
+    near = [got[a] == got[b] for (a, b), j in pairs.items() if j >= 0.8]
+    assert len(near) > 300 and sum(near) >= 0.97 * len(near)
+    # texts share a component only through texts that are alike
+    chained = brute.components(list(range(len(texts))), lambda a, b: pairs[max(a, b), min(a, b)] >= 0.4)
+    assert all(chained[a] == chained[got[a]] for a in got)
+
+
+def test_tables_keep_their_recall():
+    for n in (10, 10**6, 10**10):
+        masks = simhash.tables(n)
+        width = (masks[0] & (1 << 64) - 1).bit_count()
+        assert 1 - (1 - simhash.KEY_SHARE**width) ** len(masks) >= simhash.CHANCE and n >> width <= 16
 
 
 def test_components_of_chains_and_hubs(spark):
