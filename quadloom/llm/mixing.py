@@ -77,16 +77,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     wanted = targets_of(sizes, weights, share, most) if sizes else {}
     spark = docs.sparkSession
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    rows = [(s, sizes[s], wanted[s], float(slopes.get(weights[i % len(weights)], 0.0)), max(0, (known[s].rows // BUCKET_ROWS).bit_length())) for i, s in enumerate(order)]
+    rows = [(s, sizes[s], wanted[s], float(slopes.get(weights[i % len(weights)], 0.0)), max(0, min(32, (known[s].rows // BUCKET_ROWS).bit_length()))) for i, s in enumerate(order)]
     sources = F.broadcast(spark.createDataFrame(rows, "source string, source_size long, target double, slope double, bits int"))
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "size")
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size"))
     placed = (
         keyed.withColumnRenamed("source", "own")
         .join(sources, F.col("own").eqNullSafe(F.col("source")))
         .drop("own")
         .withColumn("h", hashed)
-        # the highest bits of the hash, in the order of signed longs
-        .withColumn("bucket", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h ^ shiftleft(1L, 63), 64 - bits)")))
+        .withColumn("bucket", F.expr("shiftright(cast(conv(substring(h, 1, 8), 16, 10) as bigint), 32 - bits)"))  # the highest bits
         .withColumn("length", F.col("size") * F.col("n"))
     )
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,8 +117,34 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix's decision on every row of documents, sorted by ranges of first position (documents not taken last)."""
+    """The mix's decision on every row of documents, sorted by ranges of first position, in millionths (documents not taken last)."""
     planned = plan(table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0))
+    place = F.floor(F.get("positions", F.lit(0)) * 1000000).alias("position")
     rows = planned.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), first.alias("position")).repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    out = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), place)
+    order = [F.col("position").asc_nulls_last(), "doc_id"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+_WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END"
+
+#: Sources in ascending order of size per weight are full as long as the level that the rest would share lies above theirs.
+OP7_SQL = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, {_WEIGHT} AS w FROM sized GROUP BY source),
+whole AS (SELECT {SHARE} * sum(ss) AS share, sum(w) AS total FROM sources),
+run AS (SELECT *, sum({MOST} * ss) OVER o - {MOST} * ss AS size_before, sum(w) OVER o - w AS w_before FROM sources WINDOW o AS (ORDER BY {MOST} * ss / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+capped AS (SELECT run.*, {MOST} * ss / w < (share - size_before) / (total - w_before) AS is_full FROM run, whole),
+rest AS (SELECT any_value(share) - coalesce(sum({MOST} * ss) FILTER (WHERE is_full), 0) AS share, any_value(total) - coalesce(sum(w) FILTER (WHERE is_full), 0) AS total FROM capped, whole),
+aim AS (SELECT source, ss, w, CASE WHEN is_full THEN {MOST} * ss ELSE rest.share * w / rest.total END AS target, CASE w WHEN 5 THEN 0.5 WHEN 2 THEN 0.0 ELSE -0.5 END AS a FROM capped, rest),
+placed AS (SELECT d.doc_id, d.source, d.size, ss, target, a, md5(concat_ws(':', '{SEED}', coalesce(CAST(d.doc_id AS VARCHAR), 'null'), CAST(d.size AS VARCHAR))) AS h FROM sized d JOIN aim ON d.source IS NOT DISTINCT FROM aim.source),
+middles AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size + size / 2.0 AS middle FROM placed),
+counted AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE greatest(0, ceil((target - middle) / ss)) END AS copies FROM middles),
+gaps AS (SELECT *, target - sum(size * copies) OVER (PARTITION BY source) AS gap FROM counted),
+spare AS (SELECT *, size > 0 AND abs(abs(gap) - size) < abs(gap) AND CASE WHEN gap > 0 THEN copies + 1 <= {MOST} ELSE copies > 0 END AS fits FROM gaps),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fits DESC, abs(abs(gap) - size), h, doc_id) AS n FROM spare),
+final AS (SELECT *, copies + CASE WHEN fits AND n = 1 THEN sign(gap) ELSE 0 END AS taken_times, least(1.0, middle / target) AS y FROM ranked)
+SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(size * taken_times AS BIGINT) AS taken,
+  CASE WHEN taken_times > 0 THEN CAST(floor(2 * y / ((1 + a) + sqrt(greatest(0.0, (1 + a) * (1 + a) - 4 * a * y))) * 1000000) AS BIGINT) END AS position
+FROM final
+"""

@@ -6,7 +6,7 @@ from quadloom.llm.bpe import op8_byte_bpe
 from quadloom.llm.ctph import op3_ctph
 from quadloom.llm.html import op4_main_text
 from quadloom.llm.lines import OP10_SQL, op10_line_runs
-from quadloom.llm.mixing import op7_curriculum_mix
+from quadloom.llm.mixing import OP7_SQL, op7_curriculum_mix
 from quadloom.llm.pii import op5_personal_data
 from quadloom.llm.quality import op2_quality_qda
 from quadloom.llm.rules import op9_quality_rules
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_line_runs": op10_line_runs,
 }
 
-SQL: dict[str, str] = {"op10_line_runs": OP10_SQL}
+SQL: dict[str, str] = {"op7_curriculum_mix": OP7_SQL, "op10_line_runs": OP10_SQL}
