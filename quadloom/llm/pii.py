@@ -41,25 +41,28 @@ N_EXAMPLES, ROUNDS, RATE, LEAF = 6000, 40, 0.3, 4.0
 #: What calibration asks of the selected held-out examples of a generator.
 PRECISION = 0.98
 
+CHUNK = 128
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
-def _found(text: Column, test: str, pattern: str) -> Column:
-    """array<struct<s,e,m>>: leftmost non-overlapping matches with start and end in code points.
+def _found(text: Column, test: str, pattern: str, keep=lambda m: F.lit(True)) -> Column:
+    """array<struct<s,e,m>>: leftmost non-overlapping matches that pass `keep`, with start and end in code points.
 
     Matches are marked by a control character, which the text itself gives up for another that no pattern takes, and the text is
-    split there: every other part is a match.
+    split there: every other part is a match. Spans are gathered in chunks, so that texts with very many take time in proportion.
     """
     marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01$0\x01")
 
     def step(a, x):
         end = a["at"] + F.length(x)
         span = F.struct(a["at"].alias("s"), end.alias("e"), x.alias("m"))
-        return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+        full = F.size(a["out"]) >= CHUNK
+        out = F.when(a["odd"], F.when(keep(x), F.array_append(F.when(full, none).otherwise(a["out"]), span)).otherwise(a["out"])).otherwise(a["out"])
+        return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), out.alias("out"), F.when(a["odd"] & full & keep(x), F.array_append(a["all"], a["out"])).otherwise(a["all"]).alias("all"))
 
     none = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
-    return F.when(text.rlike(test), F.aggregate(F.split(marked, "\x01", -1), start, step, lambda a: a["out"])).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"), F.array().cast(f"array<{_SPANS}>").alias("all"))
+    return F.when(text.rlike(test), F.aggregate(F.split(marked, "\x01", -1), start, step, lambda a: F.flatten(F.array_append(a["all"], a["out"])))).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -80,14 +83,14 @@ def _valid(kind: str, m: Column) -> Column:
         part = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
         return F.forall(part, lambda p: (F.length(p) <= 3) & (F.substring(p, 1, 3).cast("int") <= 255))
     if kind == "card":
-        return F.when((n >= 14) & (n <= 19), _luhn(m)).otherwise(F.lit(False))
+        return F.when(F.length(m) < 14, F.lit(False)).when((n >= 14) & (n <= 19), _luhn(m)).otherwise(F.lit(False))
     return (n >= 10) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<s,k,e>> of the base patterns, sorted by start, then kind (place in KINDS)."""
     def valid(k):
-        good = F.filter(_found(text, *BASE[KINDS[k]]), lambda x: _valid(KINDS[k], x["m"]))
+        good = _found(text, *BASE[KINDS[k]], lambda m: _valid(KINDS[k], m))
         return F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
     each = [valid(k) for k in range(len(BASE))]
