@@ -25,7 +25,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _words(docs: DataFrame, *more: Column) -> DataFrame:
-    """text, words, and h (a hash of each word), beside `more`. h and words are each used twice below, so neither is inlined."""
+    """text, words, and h (a hash of each word), beside `more`. Expressions below bind h once a row before they go over it, so that
+    filters the optimizer pushes down cannot make it part of their loops."""
     text = text_of(docs)
     split = docs.select(*more, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
     return split.select("*", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
@@ -35,9 +36,9 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _pair(x: Column, i: Column) -> Column:
-    """A hash of word i and the next one, or of the last word and the end."""
-    return F.xxhash64(x, F.coalesce(F.get("h", i + 1), F.lit(0).cast("long")))
+def _pair(h: Column, x: Column, i: Column) -> Column:
+    """A hash of word i, hashed to x, and the next one, or of the last word and the end."""
+    return F.xxhash64(x, F.coalesce(F.get(h, i + 1), F.lit(0).cast("long")))
 
 
 def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__ql_id"), "left")
-    grams = F.flatten(F.transform("h", lambda x, i: F.array(_bucket(x), _bucket(_pair(x, i)))))
+    grams = let(F.col("h"), lambda h: F.flatten(F.transform(h, lambda x, i: F.array(_bucket(x), _bucket(_pair(h, x, i))))))
     rows = _words(marked, F.col("__ql_id").isNotNull().alias("target")).select("target", F.explode(grams).alias("bucket"))
     return rows.groupBy("bucket", "target").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"), F.sum("n").alias("raw"))
 
@@ -64,7 +65,8 @@ def weights(table_of_counts: DataFrame) -> list[int]:
 
 def _repeated_words() -> Column:
     """Words in WINDOW-word windows that occur twice or more in the text (columns words, h)."""
-    windows = F.transform(F.slice("h", 1, F.size("h") - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, WINDOW))))
+    def windows(h):
+        return F.transform(F.slice(h, 1, F.size(h) - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
 
     def covered(t):
         placed = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -73,8 +75,10 @@ def _repeated_words() -> Column:
         steps = let(starts, lambda p: F.transform(p, lambda e, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), e - F.get(p, k - 1)))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    full = let(windows, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(covered(t)))
-    return F.when(F.size("h") > WINDOW, full).otherwise(0)
+    def full(h):
+        return let(windows(h), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(covered(t)))
+
+    return let(F.col("h"), lambda h: F.when(F.size(h) > WINDOW, full(h)).otherwise(0))
 
 
 def rules(docs: DataFrame, bucket_weights: list[int], threshold: int = THRESHOLD) -> DataFrame:
@@ -83,7 +87,7 @@ def rules(docs: DataFrame, bucket_weights: list[int], threshold: int = THRESHOLD
     words = _words(docs, F.col("doc_id"))
     table_ = F.split(F.lit(",".join(map(str, bucket_weights))), ",").cast("array<int>")  # folded to one literal
     of = lambda b: F.get(table_, b)
-    total = F.aggregate(F.transform("h", lambda x, i: of(_bucket(x)) + of(_bucket(_pair(x, i)))), F.lit(0).cast("long"), lambda a, b: a + b)
+    total = let(F.col("h"), lambda h: F.aggregate(F.transform(h, lambda x, i: of(_bucket(x)) + of(_bucket(_pair(h, x, i)))), F.lit(0).cast("long"), lambda a, b: a + b))
     worded = let(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\f\r"), x)) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     out = words.select(
         "doc_id",
