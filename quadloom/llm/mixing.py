@@ -117,12 +117,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix's decision on every row of documents, sorted by ranges of first position, in millionths (documents not taken last)."""
+    """The mix's decision on every row of documents, sorted by ranges of first position, in millionths; -1, and last, where it takes none."""
     planned = plan(table(spark, sf_dir, "documents"))
-    place = F.floor(F.get("positions", F.lit(0)) * 1000000).alias("position")
+    place = F.coalesce(F.floor(F.get("positions", F.lit(0)) * 1000000), F.lit(-1).cast("long")).alias("position")
     rows = planned.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
     out = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), place)
-    order = [F.col("position").asc_nulls_last(), "doc_id"]
+    order = [F.col("position") < 0, "position", "doc_id"]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
@@ -145,6 +145,6 @@ spare AS (SELECT *, size > 0 AND abs(abs(gap) - size) < abs(gap) AND CASE WHEN g
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fits DESC, abs(abs(gap) - size), h, doc_id) AS n FROM spare),
 final AS (SELECT *, copies + CASE WHEN fits AND n = 1 THEN sign(gap) ELSE 0 END AS taken_times, least(1.0, middle / target) AS y FROM ranked)
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(size * taken_times AS BIGINT) AS taken,
-  CASE WHEN taken_times > 0 THEN CAST(floor(2 * y / ((1 + a) + sqrt(greatest(0.0, (1 + a) * (1 + a) - 4 * a * y))) * 1000000) AS BIGINT) END AS position
+  CASE WHEN taken_times > 0 THEN CAST(floor(2 * y / ((1 + a) + sqrt(greatest(0.0, (1 + a) * (1 + a) - 4 * a * y))) * 1000000) AS BIGINT) ELSE -1 END AS position
 FROM final
 """
