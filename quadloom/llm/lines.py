@@ -40,7 +40,7 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     line = lambda x, i: F.struct(
         i.alias("i"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(F.lit(1), x).bitwiseAND(F.lit(GUARD)).alias("g")
     )
-    now = docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), F.filter(F.transform(F.split(text, "\n", -1), line), lambda s: s["w"] > 0).alias("l0")).where(F.size("l0") > 0)
+    now = docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), F.filter(F.transform(F.split(text, "\n", -1), line), lambda s: s["w"] > 0).alias("l0"))
     for j in range(levels - 1):
         now = now.select("*", _doubled(F.col(f"l{j}"), 1 << j).alias(f"l{j + 1}"))
 
@@ -72,7 +72,7 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
         start = F.struct(F.lit(0).alias("l"), F.lit(0).alias("w"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"))
         return let(start, lambda s: descend(s, levels - 1))
 
-    places = F.sequence(F.lit(0), F.size("l0") - 1)
+    places = F.when(F.size("l0") > 0, F.sequence(F.lit(0), F.size("l0") - 1)).otherwise(F.array().cast("array<int>"))
     both = F.flatten(F.transform(places, lambda p: F.array(shortest(p, True), shortest(p, False))))
     return now.select("id", "h", F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r")).select("id", "h", "r.*")
 
