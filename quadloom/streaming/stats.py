@@ -49,7 +49,7 @@ def triggers(events: DataFrame, period: int = PERIOD_MS) -> DataFrame:
             yield type(pdf)(rows, columns=["opened", "closed"]).astype("int64")
 
     times = events.select("t").where("t is not null").distinct()
-    return times.coalesce(1).sortWithinPartitions("t").mapInPandas(walk, "opened long, closed long")
+    return times.repartition(1).sortWithinPartitions("t").mapInPandas(walk, "opened long, closed long")
 
 
 def throttled(events: DataFrame, period: int = PERIOD_MS) -> DataFrame:
