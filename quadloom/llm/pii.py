@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,33 +160,33 @@ def examples(spark: SparkSession, n: int = N_EXAMPLES) -> DataFrame:
 def grow(cells: list[tuple], rounds: int = ROUNDS, rate: float = RATE, leaf: float = LEAF) -> list[tuple]:
     """Trees of two levels for logistic loss. cells: (features, label, weight). A tree: (feature, bound, left, right), where a
     side is (feature, bound, low, high); a value goes left or low if it is at most the bound."""
-    score = [0.0] * len(cells)
-    cuts = [(f, b) for f in range(len(FEATURES)) for b in sorted({c[0][f] for c in cells})[:-1]]
-    trees = []
+    if not cells:
+        return []
+    x, y, w = np.array([c[0] for c in cells]), np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    cuts = [(f, int(b)) for f in range(len(FEATURES)) for b in np.unique(x[:, f])[:-1]]
+    if not cuts:
+        return []
+    low = np.stack([x[:, f] <= b for f, b in cuts]).astype(float)  # cuts x cells
+    score, trees = np.zeros(len(cells)), []
+
+    def split(g, h):
+        """feature, bound and the values of both sides of the cut that gains most; no gain gives one value for both."""
+        total, mass, a, m = g.sum(), h.sum(), low @ g, low @ h
+        gain = a * a / (m + leaf) + (total - a) ** 2 / (mass - m + leaf) - total * total / (mass + leaf)
+        k = int(np.argmax(np.round(gain, 9)))  # of equal gains the first cut
+        if gain[k] <= 1e-9:
+            return 0, 0, float(rate * total / (mass + leaf)), float(rate * total / (mass + leaf))
+        return *cuts[k], float(rate * a[k] / (m[k] + leaf)), float(rate * (total - a[k]) / (mass - m[k] + leaf))
+
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g = [c[2] * (c[1] - q) for c, q in zip(cells, p, strict=True)]
-        h = [c[2] * q * (1 - q) for c, q in zip(cells, p, strict=True)]
-
-        def split(rows, g=g, h=h):
-            total, mass = sum(g[i] for i in rows), sum(h[i] for i in rows)
-            best = (0.0, 0, 0, rate * total / (mass + leaf), rate * total / (mass + leaf))
-            for f, b in cuts:
-                low = [i for i in rows if cells[i][0][f] <= b]
-                a, m = sum(g[i] for i in low), sum(h[i] for i in low)
-                gain = a * a / (m + leaf) + (total - a) ** 2 / (mass - m + leaf) - total * total / (mass + leaf)
-                if gain > best[0] + 1e-9:
-                    best = (gain, f, b, rate * a / (m + leaf), rate * (total - a) / (mass - m + leaf))
-            return best
-
-        every = range(len(cells))
-        _, f, b, _, _ = split(every)
-        sides = []
-        for own in ([i for i in every if cells[i][0][f] <= b], [i for i in every if cells[i][0][f] > b]):
-            _, f2, b2, low, high = split(own)
-            sides.append((f2, b2, low, high))
-            for i in own:
-                score[i] += low if cells[i][0][f2] <= b2 else high
+        p = 1 / (1 + np.exp(-score))
+        g, h = w * (y - p), w * p * (1 - p)
+        f, b, _, _ = split(g, h)
+        under, sides = x[:, f] <= b, []
+        for own in (under, ~under):
+            f2, b2, less, more = split(g * own, h * own)
+            sides.append((f2, b2, less, more))
+            score = score + own * np.where(x[:, f2] <= b2, less, more)
         trees.append((f, b, *sides))
     return trees
 
