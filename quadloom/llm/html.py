@@ -10,6 +10,7 @@ of a page share stay whole.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -23,6 +24,8 @@ from quadloom.llm.common import saved, slices, small_batches, table
 SUPPORT = 0.5
 #: Hosts' templates are joined to pages in so many copies, so that a host with very many pages is dealt to as many tasks.
 SALTS = 64
+#: Characters of a path that a token's name spells out; what is above is named by a 128-bit hash.
+LONG = 400
 
 # Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,12 +68,43 @@ def tokens(page: str):
             yield "close", name, (), ""
 
 
-def walk(page: str):
-    """(path, name, text, dropped) of a page in order: text is None at an opening tag; path names the open elements, dropped says
+class Tree:
+    """The paths of a page's elements, each held once as (parent, name, marks): a path of any depth and any number of class words is
+    an int. Node 0 is the page; a parent is less than its children."""
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.parents, self.own, self.in_article, self.names = [0], [("", ())], [False], [""]
+
+    def node(self, parent: int, name: str, marks: tuple) -> int:
+        key = (parent, name, marks)
+        at = self.ids.get(key)
+        if at is None:
+            at = self.ids[key] = len(self.parents)
+            own = name + "".join(f".{w}" for w in marks)
+            above = self.names[parent]
+            if len(above) > LONG:  # names stay in proportion to the page, and paths that differ have names that differ
+                above = f"#{hashlib.blake2b(above.encode(), digest_size=16).hexdigest()}"
+            self.parents.append(parent)
+            self.own.append((name, marks))
+            self.in_article.append(self.in_article[parent] or "article" in own)
+            self.names.append(f"{above}/{own}")
+        return at
+
+    def below(self, top: int) -> list[bool]:
+        """For each node, whether it is `top` or below it."""
+        out = [False] * len(self.parents)
+        for i in range(len(out)):
+            out[i] = i == top or (i > 0 and out[self.parents[i]])
+        return out
+
+
+def walk(page: str, tree: Tree):
+    """(node, name, text, dropped) of a page in order: text is None at a tag; node is the path of the open elements, dropped says
     whether one of them is no part of an article."""
-    stack: list[tuple[str, str, bool]] = []  # name, path, dropped
+    stack: list[tuple[str, int, bool]] = []  # name, node, dropped
     for kind, name, marks, text in tokens(page):
-        path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+        path, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if kind == "text":
             yield path, "", text, dropped
         elif kind == "open":
@@ -82,18 +116,18 @@ def walk(page: str):
                         break
                     if stack[k][0] in BLOCKS and stack[k][0] != "p":
                         break
-                path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            own = f"{path}/{name}" + "".join(f".{w}" for w in marks)
-            gone = dropped or (name in DROPPED and not (name == "header" and "article" in path)) or (name not in WHOLE and bool(CHROME.intersection(marks)))
+                path, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            own = tree.node(path, name, marks)
+            gone = dropped or (name in DROPPED and not (name == "header" and tree.in_article[path])) or (name not in WHOLE and bool(CHROME.intersection(marks)))
             yield own, name, None, gone
             if name not in VOID:
-                stack.append((name, own[-400:], gone))
+                stack.append((name, own, gone))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            yield (stack[-1][1] if stack else ""), f"/{name}", None, dropped
+            yield (stack[-1][1] if stack else 0), f"/{name}", None, dropped
 
 
 def host(url: str | None) -> str:
@@ -101,37 +135,33 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_paths(template: list[str] | None, weights: dict[str, int]) -> str | None:
+def main_node(template: list[str] | None, weights: dict[int, int], tree: Tree) -> int:
     """The template token whose slot holds the article: an article or main element; else the one with most text below it."""
     known = set(template or ())
     for word in ("article", "main"):
-        found = [p for p in weights if re.search(rf"/{word}(?:\.[^/]*)?$|\.{word}(?=[./]|$)[^/]*$", p)]
+        found = [p for p in weights if word == tree.own[p][0] or word in tree.own[p][1]]
         if found:
-            return max(found, key=lambda p: (p in known, weights[p], -len(p)))
-    best = [p for p in weights if p in known] or list(weights)
+            return max(found, key=lambda p: (tree.names[p] in known, weights[p], -p))
+    best = [p for p in weights if tree.names[p] in known] or list(weights)
     if not best:
-        return None
+        return 0
     most = max(weights[p] for p in best)
     # the deepest element that still holds most of the text
-    return max((p for p in best if weights[p] >= 0.7 * most), key=len)
+    return max(p for p in best if weights[p] >= 0.7 * most)
 
 
 def extract(page: str, template: list[str] | None) -> str:
     """The article's text: blocks in page order, one a line."""
-    seen = list(walk(page))
-    weights: dict[str, int] = {}
+    tree = Tree()
+    seen = list(walk(page, tree))
+    held, there = [0] * len(tree.parents), set()
     for path, _, text, dropped in seen:
-        if text is None:
-            if not dropped and path:
-                weights.setdefault(path, 0)
-        elif not dropped and (n := len(text.strip())):
-            at = path
-            while at:
-                weights[at] = weights.get(at, 0) + n
-                at = at.rpartition("/")[0]
-    inside = main_paths(template, weights)
-    if inside is None:
-        inside = ""
+        if not dropped:
+            there.add(path)
+            held[path] += len((text or "").strip())
+    for i in range(len(held) - 1, 0, -1):
+        held[tree.parents[i]] += held[i]
+    inside = tree.below(main_node(template, {p: held[p] for p in sorted(there) if p}, tree))
     blocks, now = [], []
 
     def close():
@@ -144,7 +174,7 @@ def extract(page: str, template: list[str] | None) -> str:
         if text is None:
             if name.lstrip("/") in BLOCKS:
                 close()
-        elif not dropped and (path == inside or path.startswith(f"{inside}/")):
+        elif not dropped and inside[path]:
             now.append(text)
     close()
     return "\n".join(blocks)
@@ -162,9 +192,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(5)]
             for url, page, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 count: dict[str, int] = {}
-                for path, name, text, _ in walk(page):
+                tree = Tree()
+                for path, name, text, _ in walk(page, tree):
                     if text is None and name[:1] != "/":
-                        count[path] = count.get(path, 0) + 1
+                        count[tree.names[path]] = count.get(tree.names[path], 0) + 1
                 for rank, (token, n) in enumerate(count.items()):
                     for col, x in zip(out, (host(url), token, n, rank, key), strict=True):
                         col.append(x)

@@ -482,6 +482,16 @@ def test_main_text(spark):
     assert html.main_text(df.limit(0)).isEmpty()
 
 
+def test_long_paths_keep_their_text(spark):
+    wide = " ".join(f"utility{i}" for i in range(60))
+    deep = f"<article><h1>Title</h1>{f'<div class="{wide}">' * 4}<p>inner</p>{'</div>' * 4}<p>last</p></article><p>beside</p>"
+    piled = f"<article><p>first</p>{'<font color=red>x ' * 300}<div>end</div></article>"
+    for page, want in ((deep, ["Title", "inner", "last"]), (piled, ["first", " ".join("x" * 300), "end"])):
+        assert html.extract(page, None).split("\n") == want
+    tokens = html.templates(spark.createDataFrame([(1, "http://h.example/", deep)], "page_id long, url string, html string")).first().template
+    assert len([x for x in tokens if x[:1] in "/#"]) == 9 and max(map(len, tokens)) < 3000
+
+
 def test_template_classes(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><nav>{'<li>x' * (i % 3 + 1)}</nav><article><h1>t</h1>{'<p>y</p>' * (i + 1)}</article>{'<hr>' if i == 0 else ''}</html>") for i in range(6)]
     tokens = html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first().template
