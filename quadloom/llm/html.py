@@ -135,33 +135,31 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_node(template: list[str] | None, weights: dict[int, int], tree: Tree) -> int:
-    """The template token whose slot holds the article: an article or main element; else the one with most text below it."""
-    known = set(template or ())
+def main_node(held: list[int], tree: Tree) -> int:
+    """The path whose slots are the article's: the lowest one above all article elements with text (or elements of that class, id or
+    role), else above all main ones, else the page."""
     for word in ("article", "main"):
-        found = [p for p in weights if word == tree.own[p][0] or word in tree.own[p][1]]
+        found = [p for p in range(1, len(held)) if held[p] and (word == tree.own[p][0] or word in tree.own[p][1])]
         if found:
-            return max(found, key=lambda p: (tree.names[p] in known, weights[p], -p))
-    best = [p for p in weights if tree.names[p] in known] or list(weights)
-    if not best:
-        return 0
-    most = max(weights[p] for p in best)
-    # the deepest element that still holds most of the text
-    return max(p for p in best if weights[p] >= 0.7 * most)
+            top = found[0]
+            for p in found[1:]:
+                while p != top:  # a parent is less than its children
+                    p, top = (tree.parents[p], top) if p > top else (p, tree.parents[top])
+            return top
+    return 0
 
 
 def extract(page: str, template: list[str] | None) -> str:
     """The article's text: blocks in page order, one a line."""
     tree = Tree()
     seen = list(walk(page, tree))
-    held, there = [0] * len(tree.parents), set()
+    held = [0] * len(tree.parents)
     for path, _, text, dropped in seen:
-        if not dropped:
-            there.add(path)
-            held[path] += len((text or "").strip())
+        if not dropped and text is not None:
+            held[path] += len(text.strip())
     for i in range(len(held) - 1, 0, -1):
         held[tree.parents[i]] += held[i]
-    inside = tree.below(main_node(template, {p: held[p] for p in sorted(there) if p}, tree))
+    inside = tree.below(main_node(held, tree))
     blocks, now = [], []
 
     def close():

@@ -492,6 +492,17 @@ def test_long_paths_keep_their_text(spark):
     assert len([x for x in tokens if x[:1] in "/#"]) == 9 and max(map(len, tokens)) < 3000
 
 
+def test_pages_without_one_article_element_stay_whole():
+    long = "long text " * 30
+    for page in (
+        f"<body><nav>n</nav><div id=content><h1>T</h1><p>{long}</p><ul><li>one</li></ul><p>end</p></div><footer>f</footer></body>",
+        f"<body><div class=sidebar>s</div><div><h1 class=article-title>T</h1><div class=article-body><p>{long}</p><ul><li>one</ul><p>end</div></div></body>",
+        f"<main><article id=a><h1>T</h1><p>{long}</p></article><article id=b><p>one</p><p>end</p></article></main>",
+        f"<article></article><div><h2>T</h2><p>{long}<p>one<p>end</div>",
+    ):
+        assert html.extract(page, None).split("\n") == ["T", long.strip(), "one", "end"]
+
+
 def test_template_classes(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><nav>{'<li>x' * (i % 3 + 1)}</nav><article><h1>t</h1>{'<p>y</p>' * (i + 1)}</article>{'<hr>' if i == 0 else ''}</html>") for i in range(6)]
     tokens = html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first().template
