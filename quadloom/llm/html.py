@@ -3,9 +3,10 @@
 Markup tokens are told apart by the path of elements around them. Over the pages of one host, tokens with the same occurrence
 vector form an equivalence class. A vector is kept as a 64-bit sum of count x hash(page), which partial aggregates combine, so a
 host's pages never meet in one task. A class is valid if it covers most of the host's pages and its tokens occur in one order.
-Valid classes nest into the host's template. The text between template tokens fills its slots; the slots of the article are
-extracted, those of navigation, adverts and the like are not. Text itself is never a template token, so passages that copies
-of a page share stay whole.
+Valid classes make the host's template. The text between template tokens fills its slots; the slots of the article are
+extracted. Fixed lists of element names and class words tell navigation, adverts and the like; beside them, a block of text that
+is a template token itself (on most pages of the host, in one place) is constant and no slot. As copies of an article would turn
+it into template, the pages a text token is on must differ in their texts, and a page that would lose most of its text stays whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from quadloom.llm.common import saved, slices, small_batches, table
 
 #: Share of a host's pages on which a template token occurs.
 SUPPORT = 0.5
+#: Pages with different texts that a text token is on at least.
+LEAST = 3
 #: Hosts' templates are joined to pages in so many copies, so that a host with very many pages is dealt to as many tasks.
 SALTS = 64
 #: Characters of a path that a token's name spells out; what is above is named by a 128-bit hash.
@@ -149,69 +153,102 @@ def main_node(held: list[int], tree: Tree) -> int:
     return 0
 
 
-def extract(page: str, template: list[str] | None) -> str:
-    """The article's text: blocks in page order, one a line."""
-    tree = Tree()
-    seen = list(walk(page, tree))
+def slots(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]]]:
+    """The page's distinct markup tokens with their counts, by first place; and the article's blocks in page order: text token,
+    text, and the rank of the markup before it. A text token is a hash of the block's path and text."""
+    tree, count = Tree(), {}
+    seen = []
+    for path, name, text, dropped in walk(page, tree):
+        if text is None and name[:1] != "/":
+            count[tree.names[path]] = count.get(tree.names[path], 0) + 1
+        seen.append((path, name, text, dropped, len(count)))
     held = [0] * len(tree.parents)
-    for path, _, text, dropped in seen:
+    for path, _, text, dropped, _ in seen:
         if not dropped and text is not None:
             held[path] += len(text.strip())
     for i in range(len(held) - 1, 0, -1):
         held[tree.parents[i]] += held[i]
     inside = tree.below(main_node(held, tree))
-    blocks, now = [], []
+    blocks, now, at = [], [], []
 
     def close():
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
-            blocks.append(text)
+            token = hashlib.blake2b(f"{tree.names[at[0][0]]}\n{text}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            blocks.append((f"={token}", text, at[0][1]))
         now.clear()
+        at.clear()
 
-    for path, name, text, dropped in seen:
+    for path, name, text, dropped, rank in seen:
         if text is None:
             if name.lstrip("/") in BLOCKS:
                 close()
         elif not dropped and inside[path]:
             now.append(text)
+            if text.strip():
+                at.append((path, rank))
     close()
-    return "\n".join(blocks)
+    return list(count.items()), blocks
+
+
+def sketch(texts: list[str]) -> int:
+    """The least hash of the texts' runs of three words: pages whose texts are alike share it about as often as they are alike."""
+    words = " ".join(texts).encode("utf-8", "surrogatepass").split()
+    runs = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
+    return min(zlib.crc32(b" ".join(x)) for x in runs)
+
+
+def extract(page: str, template: list[str] | None) -> str:
+    """The article's text: blocks in page order, one a line, without those that are tokens of the template. A page most of whose
+    text would go is a copy of others, and stays whole."""
+    blocks = slots(page)[1]
+    constant = {t for t in template or () if t[:1] == "="}
+    filled = [text for token, text, _ in blocks if token not in constant]
+    if 2 * sum(map(len, filled)) < sum(len(text) for _, text, _ in blocks):
+        filled = [text for _, text, _ in blocks]
+    return "\n".join(filled)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, n_pages, vector, least_rank, most_rank: for each markup token of a host, the pages it is on, a hash of its
-    occurrence vector, and the least and greatest rank of its first place among the page's distinct tokens."""
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), T.StructField("n", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("page", T.LongType())])
+    """host, token, n_pages, n_texts, vector, least_rank, most_rank: for each token of a host, the pages it is on, how many different
+    sketches they have, a hash of its occurrence vector, and the least and greatest rank of its first place among the page's
+    distinct markup tokens."""
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("n", "rank", "page", "sketch"))])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "html"):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for url, page, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count: dict[str, int] = {}
-                tree = Tree()
-                for path, name, text, _ in walk(page, tree):
-                    if text is None and name[:1] != "/":
-                        count[tree.names[path]] = count.get(tree.names[path], 0) + 1
-                for rank, (token, n) in enumerate(count.items()):
-                    for col, x in zip(out, (host(url), token, n, rank, key), strict=True):
+                markup, blocks = slots(page)
+                alike = sketch([text for _, text, _ in blocks])
+                texts: dict[str, list[int]] = {}
+                for token, _, rank in blocks:
+                    texts.setdefault(token, [0, rank])[0] += 1
+                for token, n, rank in [(x, n, rank) for rank, (x, n) in enumerate(markup)] + [(x, *v) for x, v in texts.items()]:
+                    for col, x in zip(out, (host(url), token, n, rank, key, alike), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])], schema.names)
 
     # 31-bit page hashes: sums of count x hash stay inside a long
     rows = small_batches(pages).select("url", F.coalesce("html", F.lit("")).alias("html"), F.shiftrightunsigned(F.xxhash64("page_id", "url"), 33).cast("long").alias("page")).mapInArrow(run, schema)
-    return rows.groupBy("host", "token").agg(F.count("*").alias("n_pages"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
+    parts = rows.groupBy("host", "token", "sketch").agg(F.count("*").alias("n_pages"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
+    return parts.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.count("*").alias("n_texts"), F.sum("vector").alias("vector"), F.min("least_rank").alias("least_rank"), F.max("most_rank").alias("most_rank"))
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """host, template: the tokens of the host's valid equivalence classes, by place.
 
     A class holds the tokens with one vector; it is valid if it is on `support` of the host's pages at least and its tokens'
-    ranges of rank keep one order (the class of a host's only page always is).
+    ranges of rank keep one order (the class of a host's only page always is). Text tokens have to be on LEAST pages at least, and
+    the pages they are on have to differ: half as many sketches as pages.
     """
-    tokens_of = saved(occurrences(pages))
-    total = tokens_of.groupBy("host").agg(F.max("n_pages").alias("pages"))
+    all_tokens = occurrences(pages)
+    text = F.col("token").startswith("=")
+    # most texts are on one page only
+    tokens_of = saved(all_tokens.where(~text | ((F.col("n_texts") >= LEAST) & (2 * F.col("n_texts") >= F.col("n_pages")))))
+    total = tokens_of.where(~text).groupBy("host").agg(F.max("n_pages").alias("pages"))
     rank = F.struct("least_rank", "most_rank", "token")
     classes = tokens_of.join(total, "host").where(F.col("n_pages") >= support * F.col("pages")).groupBy("host", "n_pages", "vector").agg(F.sort_array(F.collect_list(rank)).alias("members"))
     ordered = F.forall(F.transform("members", lambda m, i: F.coalesce(F.get("members", i - 1)["most_rank"] <= m["most_rank"], F.lit(True))), lambda ok: ok)
@@ -222,7 +259,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text: the main text of every row of pages.
 
     Null or empty html gives an empty text; a null url counts as one host with other such pages; repeated rows repeat. White space
-    in a block becomes one blank, blocks are trimmed and joined by a line end; empty blocks are left out, nothing else.
+    in a block becomes one blank, blocks are trimmed and joined by a line end; empty blocks and the host's constant ones are left
+    out, nothing else.
     """
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType())])
 

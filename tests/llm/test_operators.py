@@ -503,6 +503,19 @@ def test_pages_without_one_article_element_stay_whole():
         assert html.extract(page, None).split("\n") == ["T", long.strip(), "one", "end"]
 
 
+def test_constant_text_goes_and_copied_articles_stay(spark):
+    rnd = random.Random(5)
+    words = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    bodies = [[words(40) for _ in range(3)] for _ in range(8)]
+    copied = [words(40) for _ in range(4)]
+    edited = [[p if rnd.random() > 0.2 else f"{p} edit{k}" for p in copied] for k in range(8)]
+    page = lambda ps: f"<body><p>Subscribe to our daily letter</p><div>{''.join(f'<p>{p}</p>' for p in ps)}</div><p>All rights reserved</p></body>"
+    rows = [(k, f"http://own.example/{k}", page(ps)) for k, ps in enumerate(bodies)] + [(10 + k, f"http://copy.example/{k}", page(ps)) for k, ps in enumerate(edited)]
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == ps for k, ps in enumerate(bodies))
+    assert all([x for x in got[10 + k] if x in ps] == ps for k, ps in enumerate(edited))
+
+
 def test_template_classes(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><nav>{'<li>x' * (i % 3 + 1)}</nav><article><h1>t</h1>{'<p>y</p>' * (i + 1)}</article>{'<hr>' if i == 0 else ''}</html>") for i in range(6)]
     tokens = html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first().template
