@@ -17,7 +17,7 @@ import math
 import random
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,12 +309,19 @@ def tables(n: int, seed: int = TABLE_SEED) -> list[int]:
     return [_signed(sum(1 << b for b in rnd.sample(range(BITS), width))) for _ in range(number)]
 
 
+def block_pairs(place: Column, blocks: Column) -> Column:
+    """The pairs (low, high) of blocks that the block of a row, by the hash `place`, is in: any two rows have one in common."""
+    mine = F.pmod(place, blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != mine)
+    return F.transform(others, lambda j: F.struct(F.least(j, mine).alias("low"), F.greatest(j, mine).alias("high")))
+
+
 def similar(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Components as in components(), of texts whose 128-bit fingerprints of five-word shingles agree in `share` of their bits.
 
     Pairs are compared where sampled bits of their word-pair fingerprints agree, in as many tables as `tables` says; recall is
-    that of those tables, at any size. A bucket over max_bucket is dealt in blocks by a hash that differs by table; about 64 of its
-    rows go to every block and tie the blocks together.
+    that of those tables, at any size. A bucket over max_bucket is dealt in blocks of half that size, and each block is compared with
+    each other one, so that no pair of a bucket is left out.
     """
     own = saved(wide_fingerprint(docs, shingle).select("doc_id", "h", "key", "a", "b", F.xxhash64("a", "b").alias("fp")))
     distinct = saved(own.select("key", "a", "b").distinct())
@@ -323,12 +330,8 @@ def similar(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, max_b
     crowded = saved(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
     usual = keyed
     if not crowded.isEmpty():
-        place = F.xxhash64("a", "b", "c")
-        blocks = F.ceil(F.col("n") / max_bucket)
-        tie = F.pmod(place, F.greatest(F.lit(1), F.floor(F.col("n") / 64))) == 0
-        own_block = F.array(F.pmod(F.xxhash64("b", "a", "c"), blocks))
-        each = F.explode(F.when(tie, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own_block)).alias("block")
-        split = keyed.join(crowded, ["c", "k"]).select("a", "b", "c", "k", each).select("a", "b", "c", F.xxhash64("k", "block").alias("k"))
+        pair = F.explode(block_pairs(F.xxhash64("a", "b", "c"), F.ceil(2 * F.col("n") / max_bucket))).alias("p")
+        split = keyed.join(crowded, ["c", "k"]).select("a", "b", "c", "k", pair).select("a", "b", "c", F.xxhash64("k", "p.low", "p.high").alias("k"))
         usual = keyed.join(crowded, ["c", "k"], "left_anti").select("a", "b", "c", "k").union(split)
     edges = bucket_edges(usual, ["a", "b"], math.floor((1 - share) * 2 * BITS))
     return _grouped(own.select("doc_id", "h", "fp"), edges.select(F.xxhash64("u_a", "u_b").alias("u"), F.xxhash64("v_a", "v_b").alias("v")))

@@ -300,6 +300,15 @@ def test_similar_texts_meet_and_others_do_not(spark, limit):
     assert all(chained[a] == chained[got[a]] for a in got)
 
 
+def test_every_pair_of_a_crowded_bucket_is_compared(spark, monkeypatch):
+    rnd = random.Random(12)
+    texts = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(100)) for _ in range(400)]
+    texts += [f"{t} end" for t in texts]
+    monkeypatch.setattr(simhash, "tables", lambda n: [0])  # one bucket
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows_of(texts), DOCS), max_bucket=50).collect()}
+    assert got == {k: k % 400 for k in range(800)}
+
+
 def test_tables_keep_their_recall():
     for n in (10, 10**6, 10**10):
         masks = simhash.tables(n)
