@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word SimHashes agree in 80 % of their bits."""
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 at least."""
     return simhash.keep_one(docs)
 
 

@@ -309,6 +309,21 @@ def test_every_pair_of_a_crowded_bucket_is_compared(spark, monkeypatch):
     assert got == {k: k % 400 for k in range(800)}
 
 
+@pytest.mark.parametrize("group", [simhash.GROUP, 12])
+def test_only_texts_of_enough_common_shingles_are_joined(spark, monkeypatch, group):
+    rnd = random.Random(13)
+    texts = []
+    for k in range(60):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(400)]
+        # the last words differ: common shingles of all, about 0.95, 0.82, 0.77, 0.7
+        texts += [" ".join(base[:n] + [f"x{k}_{n}_{i}" for i in range(400 - n)]) for n in (400, 390, 360, 348, 330)]
+    texts += ["", " ", None]
+    own = [shingles(t or "") for t in texts]
+    monkeypatch.setattr(simhash, "tables", lambda n: [0])  # one bucket
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows_of(texts), DOCS), group=group).collect()}
+    assert got == brute.components(list(range(len(texts))), lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]))
+
+
 def test_tables_keep_their_recall():
     for n in (10, 10**6, 10**10):
         masks = simhash.tables(n)
