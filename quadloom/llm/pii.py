@@ -226,7 +226,8 @@ def personal_data(docs: DataFrame, model: tuple[list[tuple], list[float]]) -> Da
     """doc_id, base, added: arrays of struct<s,k,e> (start, place of the kind in KINDS, end; code points, end exclusive), by start.
 
     base: the validated base patterns over the whole text (null: empty). added: candidates whose score reaches their generator's
-    bound, overlap no base span and, from left to right, none selected before. Repeated rows repeat.
+    bound, without what base spans or, from left to right, candidates before cover, so that one may give several spans. Repeated
+    rows repeat.
     """
     trees, bounds = model
     limit = F.array(*(F.lit(b if math.isfinite(b) else 1e9) for b in bounds))
@@ -235,20 +236,22 @@ def personal_data(docs: DataFrame, model: tuple[list[tuple], list[float]]) -> Da
     rows = rows.select("doc_id", "text", base_spans(text).alias("base"), F.when(text.rlike(r"[0-9@=:]|[(\[]at[)\]]"), candidates(text)).alias("c"))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
-    def free(c):
-        return ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-
-    chosen = F.filter("c", lambda c: free(c) & (_score(trees, c) >= F.get(limit, c["gen"])))
+    chosen = F.filter("c", lambda c: _score(trees, c) >= F.get(limit, c["gen"]))
     ordered = F.array_sort(F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("n"), c["k"].alias("k"), c["e"].alias("e"))))
 
-    def take(a, c):
-        ok = (F.size(a) == 0) | (F.element_at(a, -1)["e"] <= c["s"])
-        return F.when(ok, F.array_append(a, F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))).otherwise(a)
+    def push(a, end, k):
+        return F.when(a["at"] < end, F.array_append(a["out"], F.struct(a["at"].alias("s"), k.alias("k"), end.alias("e")))).otherwise(a["out"])
 
-    def last_or_none(a, c):
-        return F.when(F.size(a) == 0, F.array(F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))).otherwise(take(a, c))
+    def take(a, c):
+        return F.aggregate(
+            F.filter("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])),
+            F.struct(F.greatest(a["at"], c["s"]).alias("at"), a["out"].alias("out")),
+            lambda x, b: F.struct(F.greatest(x["at"], b["e"]).alias("at"), push(x, b["s"], c["k"]).alias("out")),
+            lambda x: F.struct(F.greatest(x["at"], c["e"]).alias("at"), push(x, c["e"], c["k"]).alias("out")),
+        )
 
-    added = F.when(F.col("c").isNull() | (F.size("c") == 0), none).otherwise(F.aggregate(ordered, none, last_or_none))
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    added = F.when(F.col("c").isNull() | (F.size("c") == 0), none).otherwise(F.aggregate(ordered, first, take, lambda a: a["out"]))
     return rows.select("doc_id", "text", "base", added.alias("added"))
 
 

@@ -485,6 +485,19 @@ def test_trees_select_and_redact(spark):
     assert not any(a.s < b.e and b.s < a.e for a in spans.added for b in spans.base)
 
 
+def test_all_of_overlapping_candidates_is_redacted(spark):
+    model = ([], [0.0] * len(pii.GENERATORS))  # all candidates count
+    texts = ["password=xy-ann@example.org/9f8e7d6c end", "key: 4111111111111111abcdefabcdefabcdefabcdef end", "token = 0123456789/abcdefabcdefabcdef end"]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    found = pii.personal_data(df, model)
+    wanted = {r.doc_id: r.c for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    for r in found.collect():
+        spans = sorted((x.s, x.e) for x in [*r.base, *r.added])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(any(s <= i < e for s, e in spans) for c in wanted[r.doc_id] for i in range(c.s, c.e))
+    assert all(r.text.endswith("] end") for r in pii.redact(found).collect())
+
+
 # ---- 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="search-page"><header class="masthead"><p>Site</p></header>
