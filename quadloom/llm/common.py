@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir if it names one; a local folder only where nothing is set, as in tests."""
+    """The cluster's spark.checkpoint.dir. A local folder stands in where nothing is set and all tasks run on this machine, as in
+    tests; on a cluster without the setting this is an error, as executors would not share such a folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -40,6 +45,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: `join_hot`: at most so many keys are broadcast.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with groups (one row a key; n: how many of the `total` rows have it) on a key, however many rows share it.
+
+    Keys with more than a HOT_KEYS-th of all rows, of which there are less than HOT_KEYS, are broadcast, so their rows stay where they
+    are; the others meet by a shuffle. Null keys join nothing. Both frames are read more than once: pass saved ones.
+    """
+    hot = F.col(n) > total // HOT_KEYS
+    few = F.broadcast(groups.where(hot).withColumnRenamed(key, "__ql_key"))
+    same = rows[key] == F.col("__ql_key")
+    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
+    many = rows.join(few.select("__ql_key"), same, "left_anti").join(groups.where(~hot), key)
+    return rows.join(few, same).select(columns).unionByName(many.select(columns))
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name], F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import saved, slices, small_batches, table, text_of
+from quadloom.llm.common import join_hot, saved, slices, small_batches, table, text_of
 from quadloom.llm.graph import connected_components
 
 BITS, SEED = 64, 42
@@ -41,6 +41,8 @@ GROUP, GROUP_CHARS = 2048, 1 << 24
 #: KEY_SHARE of their bits meets in some table.
 KEY_BITS, KEY_SHARE, CHANCE = 20, 0.87, 0.99
 TABLE_SEED = 6
+#: Tables of the first pass over candidates; the others then skip pairs that are in one component already.
+FIRST = 8
 
 
 def simhash(raw: bytes, width: int = WIDTH) -> int:
@@ -157,16 +159,16 @@ def _planes(fps):
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def linked(fps, ends, radius: int):
+def linked(fps, ends, radius: int, start=None):
     """For sorted buckets of fingerprints, the least row of each row's component inside its bucket.
 
-    fps: uint64 array, (rows, columns of 64 bits); ends: for each row, the end of its bucket. Pairs that are in one component
-    already are not compared again.
+    fps: uint64 array, (rows, columns of 64 bits); ends: for each row, the end of its bucket; start: for each row, the least row of
+    its bucket that is known to be in its component (itself if none). Pairs that are in one component already are not compared.
     """
     import numpy as np
 
     n = len(fps)
-    planes, label, left = _planes(fps), np.arange(n), ends - np.arange(n)
+    planes, label, left = _planes(fps), np.arange(n) if start is None else start, ends - np.arange(n)
     parent = label.tolist()
 
     def find(i):
@@ -220,9 +222,10 @@ def linked(fps, ends, radius: int):
     return label
 
 
-def bucket_edges(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
+def bucket_edges(keyed: DataFrame, columns: list[str], radius: int, known: str | None = None) -> DataFrame:
     """Edges between fingerprints (long `columns`) that share a bucket (c, k) and differ in at most `radius` bits: u_ and v_ of each
-    column. A bucket gives a spanning forest of its pairs, never all of them; it is held in one task as 8 bytes a column."""
+    column. A bucket gives a spanning forest of its pairs, never all of them; it is held in one task as 8 bytes a column. known: a
+    long column that is equal for fingerprints that are in one component already; these get no edges between them."""
 
     def compare(batches):
         import numpy as np
@@ -236,9 +239,14 @@ def bucket_edges(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame
             bounds = np.append(np.nonzero(new)[0], len(c))
             sizes = np.diff(bounds)
             several = np.repeat(sizes > 1, sizes)
-            fps, sizes = np.stack(fp, axis=1)[several], sizes[sizes > 1]
-            label = linked(fps.view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
-            joined = np.nonzero(label != np.arange(len(fps)))[0]
+            fps, sizes = np.stack(fp[: len(columns)], axis=1)[several], sizes[sizes > 1]
+            start = np.arange(len(fps))
+            if known:
+                part = np.stack([np.repeat(np.arange(len(sizes)), sizes), fp[-1][several]], axis=1)
+                _, least, which = np.unique(part, axis=0, return_index=True, return_inverse=True)
+                start = least[which.reshape(-1)] if len(fps) else start
+            label = linked(fps.view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius, start)
+            joined = np.nonzero((label != start) & (start == np.arange(len(fps))))[0]  # what is known goes with its least row
             ends = (fps[joined], fps[label[joined]])
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for e in ends for i in range(len(columns))], names)
 
@@ -256,7 +264,7 @@ def bucket_edges(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame
 
     names = [f"{e}_{x}" for e in "uv" for x in columns]
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = small_batches(keyed).select("c", "k", *columns).repartition(parts, "c", "k").sortWithinPartitions("c", "k", *columns)
+    dealt = small_batches(keyed).select("c", "k", *columns, *([known] if known else [])).repartition(parts, "c", "k").sortWithinPartitions("c", "k", *columns)
     return dealt.mapInArrow(compare, ", ".join(f"{x} long" for x in names))
 
 
@@ -290,12 +298,14 @@ def _signed(x: int) -> int:
 
 
 def _grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, h, fp, root, component_id of own (doc_id, h, fp) with edges (u, v) between its fps."""
-    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """doc_id, h, fp, root, component_id of own (doc_id, h, fp; saved) with edges (u, v) between its fps."""
+    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = connected_components(edges).withColumnRenamed("node", "fp")
-    firsts = saved(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(firsts.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+    firsts = saved(firsts.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = saved(firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps")))
+    rows, texts = firsts.agg(F.sum("n"), F.count("*")).first()
+    placed = saved(join_hot(firsts, least, "root", "fps", texts).select("fp", "n", "root", "component_id"))
+    return join_hot(own.select("doc_id", "h", "fp"), placed, "fp", "n", rows or 0).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -389,22 +399,28 @@ def similar(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, max_b
     """Components as in components(), of texts whose sets of five-word shingles have a Jaccard similarity of `like` at least. fp is h.
 
     Texts whose 128-bit fingerprints of those shingles agree in `share` of their bits are candidates; inside each component of
-    candidates, pairs of texts are compared by their shingles. Fingerprints are compared where sampled bits of their word-pair fingerprints agree, in as many tables as `tables` says; recall is
-    that of those tables, at any size. A bucket over max_bucket is dealt in blocks of half that size, and each block is compared with
-    each other one, so that no pair of a bucket is left out.
+    candidates, pairs of texts are compared by their shingles. Fingerprints are compared where sampled bits of their word-pair
+    fingerprints agree, in as many tables as `tables` says; recall is that of those tables, at any size. A few tables come first, so
+    that the others need not tell again that the members of a large group are alike. A bucket over max_bucket is dealt in blocks of
+    half that size, and each block is compared with each other one, so that no pair of a bucket is left out.
     """
     own = saved(wide_fingerprint(docs, shingle).select("doc_id", "h", "key", "a", "b", "size", F.xxhash64("a", "b").alias("fp")))
-    distinct = saved(own.select("key", "a", "b").distinct())
-    masks = tables(distinct.count())
-    keyed = distinct.select("a", "b", F.posexplode(F.array(*(F.col("key").bitwiseAND(F.lit(m)) for m in masks))).alias("c", "k"))
-    crowded = saved(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
-    usual = keyed
-    if not crowded.isEmpty():
-        pair = F.explode(block_pairs(F.xxhash64("a", "b", "c"), F.ceil(2 * F.col("n") / max_bucket))).alias("p")
-        split = keyed.join(crowded, ["c", "k"]).select("a", "b", "c", "k", pair).select("a", "b", "c", F.xxhash64("k", "p.low", "p.high").alias("k"))
-        usual = keyed.join(crowded, ["c", "k"], "left_anti").select("a", "b", "c", "k").union(split)
-    edges = bucket_edges(usual, ["a", "b"], math.floor((1 - share) * 2 * BITS))
-    loose = connected_components(edges.select(F.xxhash64("u_a", "u_b").alias("u"), F.xxhash64("v_a", "v_b").alias("v"))).select(F.col("node").alias("fp"), "root")
+    distinct = saved(own.select("key", "a", "b", F.xxhash64("a", "b").alias("fp")).distinct())
+    masks, radius = tables(distinct.count()), math.floor((1 - share) * 2 * BITS)
+    loose = None
+    for part in (masks[:FIRST], masks[FIRST:]):
+        marked = distinct.withColumn("part", F.col("fp")) if loose is None else distinct.join(loose, "fp", "left").withColumn("part", F.coalesce("root", "fp"))
+        keyed = marked.select("a", "b", "part", F.posexplode(F.array(*(F.col("key").bitwiseAND(F.lit(m)) for m in part))).alias("c", "k"))
+        crowded = saved(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
+        usual = keyed
+        if not crowded.isEmpty():
+            pair = F.explode(block_pairs(F.xxhash64("a", "b", "c"), F.ceil(2 * F.col("n") / max_bucket))).alias("p")
+            split = keyed.join(crowded, ["c", "k"]).select("a", "b", "part", "c", "k", pair).select("a", "b", "part", "c", F.xxhash64("k", "p.low", "p.high").alias("k"))
+            usual = keyed.join(crowded, ["c", "k"], "left_anti").select("a", "b", "part", "c", "k").union(split)
+        found = bucket_edges(usual, ["a", "b"], radius, "part").select(F.xxhash64("u_a", "u_b").alias("u"), F.xxhash64("v_a", "v_b").alias("v"))
+        if loose is not None:  # what is known is one edge a fingerprint
+            found = found.union(loose.where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
+        loose = saved(connected_components(found).select(F.col("node").alias("fp"), "root"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one")
     texts = own.groupBy("h", "fp").agg(one, F.first("size").alias("size")).join(loose, "fp", "left").select("h", "one.doc_id", "size", F.coalesce("root", "fp").alias("root"))
     texts = saved(texts)
@@ -412,8 +428,8 @@ def similar(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, max_b
     blocks = F.greatest(F.ceil(2 * F.col("n") / group), F.ceil(2 * F.col("chars") / GROUP_CHARS))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))
     pairs = F.when((F.col("n") <= group) & (F.col("chars") <= GROUP_CHARS), whole).otherwise(block_pairs(F.xxhash64("h"), blocks))
-    members = texts.join(groups, "root").select("h", "doc_id", "root", pairs.alias("pairs"))
-    found = alike(docs, members, math.floor((1 - share) * 2 * BITS), like, shingle)
+    members = join_hot(texts, saved(groups), "root", "n", texts.count()).select("h", "doc_id", "root", pairs.alias("pairs"))
+    found = alike(docs, members, radius, like, shingle)
     return _grouped(own.select("doc_id", "h", F.col("h").alias("fp")), found)
 
 
