@@ -49,18 +49,17 @@ def small_batches(df: DataFrame) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with groups (one row a key; n: how many of the `total` rows have it) on a key, however many rows share it.
 
     Keys with more than a HOT_KEYS-th of all rows, of which there are less than HOT_KEYS, are broadcast, so their rows stay where they
     are; the others meet by a shuffle. Null keys join nothing. Both frames are read more than once: pass saved ones.
     """
-    hot = F.col(n) > total // HOT_KEYS
-    few = F.broadcast(groups.where(hot).withColumnRenamed(key, "__ql_key"))
-    same = rows[key] == F.col("__ql_key")
-    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
-    many = rows.join(few.select("__ql_key"), same, "left_anti").join(groups.where(~hot), key)
-    return rows.join(few, same).select(columns).unionByName(many.select(columns))
+    hot, key = F.col(n) > total // HOT_KEYS, [key] if isinstance(key, str) else key
+    few = F.broadcast(groups.where(hot))
+    columns = [*rows.columns, *(c for c in groups.columns if c not in key)]
+    many = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
+    return rows.join(few, key).select(columns).unionByName(many.select(columns))
 
 
 def text_of(docs: DataFrame, name: str = "text") -> Column:

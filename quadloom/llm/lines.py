@@ -1,80 +1,114 @@
-"""Operator 10: removal of repeated line runs, by prefix doubling over line-ID sequences.
-
-Only DataFrame and SQL functions. The lines of a document that hold a word are a sequence of 64-bit line IDs. Prefix doubling
-names every run of 1, 2, 4 ... lines by the names of its halves, inside the document, so no round needs a shuffle. Suffixes
-that share a prefix then share its name: each group of equal names is an interval of the suffix order with that common prefix.
-
-A run of lines with at least `min_words` words that also occurs earlier (by doc_id, then line) is deleted. Such maximal repeats
-of any length are exactly covered by the shortest ones: the shortest run from each line forward and the shortest run up to each
-line backward that reach `min_words`. (Take a line of a repeated run. Either its forward run ends inside the repeat, or the
-backward run from the repeat's end contains it.) So doubling may stop at `min_words` lines and one grouping finds all intervals.
-Since only intervals and first occurrences are used, names are hashes, not ranks; a second, independent sum guards them.
+"""Operator 10: removal of repeated line runs, by a suffix array over line-ID sequences.
+
+Only DataFrame and SQL functions. The lines of a document that hold a word are a sequence of line IDs. Distributed prefix doubling
+sorts all suffixes of all documents by their first 1, 2, 4 ... lines: the rank of a block of 2^k lines orders it among all blocks of
+that length, and comes from the ranks of its halves, by a range sort of the distinct pairs of ranks. Blocks that occur once are
+dropped as soon as they are ranked, as no repeated run holds one, so later rounds see repeated text only.
+
+Suffixes that share their first m lines are an interval of the suffix array with a longest common prefix of m lines or more. Where
+2^k <= m < 2^(k+1), the ranks of the blocks of 2^k lines at both ends of these lines (they overlap) name the interval. A run of lines
+with at least `min_words` words that also occurs earlier (by doc_id, then line) is deleted. Such maximal repeats of any length are
+exactly covered by their shortest parts: the shortest run from each line forward and the shortest run up to each line backward that
+reach `min_words`. (Take a line of a repeated run. Either its forward run ends inside the repeat, or the backward run from the
+repeat's end contains it.) So only intervals of those lengths are looked up, and doubling stops at `min_words` lines, or
+earlier, when no block is left that is repeated and shorter than such a run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quadloom.llm.common import WORD, let, saved, table, text_of
+from quadloom.llm.common import WORD, join_hot, let, saved, table, text_of
 
 MIN_WORDS = 50
-#: Bits of the second line hash; sums of them over a run stay far below 2^63.
-GUARD = (1 << 40) - 1
 
 
-def _doubled(half: Column, step: int) -> Column:
-    """From the pieces of `step` lines those of twice as many; what lies past the end is null."""
+def _sequences(docs: DataFrame) -> DataFrame:
+    """id, h (the row), p (place among the lines with words), i (line number), w (words), a, b (96 bits of the line's hash)."""
+    text = text_of(docs)
+    line = lambda x, i: F.struct(
+        i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(x).alias("a"), F.hash(x).cast("long").alias("b")
+    )
+    worded = F.filter(F.transform(F.split(text, "\n", -1), line), lambda s: s["w"] > 0)
+    return docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), F.posexplode(worded).alias("p", "s")).select("id", "h", "p", "s.*")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows (saved) whose pair (a, b) occurs twice or more, with r in its stead: r orders the pairs as (a, b) does.
 
-    def joined(s, i):
-        t = F.get(half, i + step)
-        return F.struct(F.xxhash64(s["h"], t["h"]).alias("h"), (s["w"] + t["w"]).alias("w"), (s["g"] + t["g"]).alias("g"))
+    Equal pairs are counted before they are shuffled; the distinct ones are sorted by ranges, where a number that grows with partition and
+    place is the rank. Rows meet ranks by a join that takes any share of rows in one pair.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("__n")).where("__n > 1")
+    ranks = saved(pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("r", F.monotonically_increasing_id()))
+    return join_hot(rows, ranks, ["a", "b"], "__n", rows.count()).drop("a", "b", "__n")
 
-    return F.transform(half, joined)
 
+def _lengths(rows: DataFrame, min_words: int) -> DataFrame:
+    """rows (id, h, p, i, w, r) as blocks of one line: first and last line number (i, j), words in all (w), of the first and of the
+    last line (wf, wl); forward, backward: lines of the shortest run of min_words words from the first line on or up to the last
+    one, null if the lines that are left do not reach them; end, begin: the last and the first line number of these runs.
 
-def _runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, h (the row), kind, name, guard, first_line, last_line: the shortest run of each line and direction."""
-    levels = max(1, (min_words - 1).bit_length())
-    text = text_of(docs)
-    line = lambda x, i: F.struct(
-        i.alias("i"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(F.lit(1), x).bitwiseAND(F.lit(GUARD)).alias("g")
-    )
-    now = docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), F.filter(F.transform(F.split(text, "\n", -1), line), lambda s: s["w"] > 0).alias("l0"))
-    for j in range(levels - 1):
-        now = now.select("*", _doubled(F.col(f"l{j}"), 1 << j).alias(f"l{j + 1}"))
-
-    def shortest(p: Column, forward: bool) -> Column:
-        """The run of line number p as a struct, null if too few words are left; built from the longest doubled pieces down."""
-
-        def at(j, s):
-            return F.get(F.col(f"l{j}"), p + s["l"] if forward else p - s["l"] - (1 << j) + 1)
-
-        def descend(s, j):
-            if j < 0:
-                return let(F.get(F.col("l0"), p + s["l"] if forward else p - s["l"]), lambda t: end(s, t))
-            longer = lambda s, t: F.struct(
-                (s["l"] + (1 << j)).alias("l"), (s["w"] + t["w"]).alias("w"), F.xxhash64(s["h"], t["h"]).alias("h"), (s["g"] + t["g"]).alias("g")
-            )
-            return let(let(at(j, s), lambda t: F.when(s["w"] + t["w"] < min_words, longer(s, t)).otherwise(s)), lambda s: descend(s, j - 1))
-
-        def end(s, t):
-            begin = F.get(F.col("l0"), p)["i"]
-            run = F.struct(
-                F.lit(0 if forward else 1).alias("kind"),
-                F.xxhash64(s["h"], t["h"]).alias("name"),
-                (s["g"] + t["g"]).alias("guard"),
-                (begin if forward else t["i"]).alias("first_line"),
-                (t["i"] if forward else begin).alias("last_line"),
-            )
-            return F.when(s["w"] + t["w"] >= min_words, run)
-
-        start = F.struct(F.lit(0).alias("l"), F.lit(0).alias("w"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"))
-        return let(start, lambda s: descend(s, levels - 1))
-
-    places = F.when(F.size("l0") > 0, F.sequence(F.lit(0), F.size("l0") - 1)).otherwise(F.array().cast("array<int>"))
-    both = F.flatten(F.transform(places, lambda p: F.array(shortest(p, True), shortest(p, False))))
-    return now.select("id", "h", F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r")).select("id", "h", "r.*")
+    A line is in the forward run of another if fewer than min_words words lie from that one up to it. Runs over a gap count as none.
+    """
+    own = Window.partitionBy("id", "h")
+    placed = rows.withColumn("s", F.sum("w").over(own.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("c", F.col("s") + F.col("w"))
+    ahead, back = own.orderBy("s").rangeBetween(0, min_words - 1), own.orderBy("c").rangeBetween(1 - min_words, 0)
+    n, m = F.count("*").over(ahead), F.count("*").over(back)
+    forward = F.when((F.sum("w").over(ahead) >= min_words) & (F.max("p").over(ahead) == F.col("p") + n - 1), n.cast("int"))
+    backward = F.when((F.sum("w").over(back) >= min_words) & (F.min("p").over(back) == F.col("p") - m + 1), m.cast("int"))
+    ends = F.max("i").over(ahead).alias("end"), F.min("i").over(back).alias("begin")
+    return placed.select("id", "h", "p", "i", F.col("i").alias("j"), "w", F.col("w").alias("wf"), F.col("w").alias("wl"), "r", forward.alias("forward"), backward.alias("backward"), *ends)
+
+
+def _intervals(blocks: DataFrame, k: int) -> DataFrame:
+    """id, h, m, x, y, first_line, last_line of the shortest runs of 2^k to 2^(k+1) - 1 lines whose blocks of 2^k lines all
+    occur twice or more: (m, x, y) names the suffix array's interval, x and y being the ranks of the run's first and last block."""
+    size = 1 << k
+    own = Window.partitionBy("id", "h").orderBy("p")
+    block = F.struct("p", "r", "forward")
+    ahead, back = (F.collect_list(block).over(own.rowsBetween(*x)) for x in ((0, size - 1), (1 - size, 0)))
+    known = blocks.withColumn("ahead", F.when(F.col("forward").between(size, 2 * size - 1), F.get(ahead, F.col("forward") - size)))
+    known = known.withColumn("all_back", F.when(F.col("backward").between(size, 2 * size - 1), back))
+    known = known.withColumn("back", F.get("all_back", F.size("all_back") - 1 - F.col("backward") + size)).drop("all_back")
+    run = lambda m, x, y, i, j: F.struct(F.col(m).alias("m"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(i).alias("first_line"), F.col(j).alias("last_line"))
+    up = F.when(F.col("ahead.p") == F.col("p") + F.col("forward") - size, run("forward", "r", "ahead.r", "i", "end"))
+    # a backward run that is the forward run of its first line is listed there
+    down = F.when((F.col("back.p") == F.col("p") - F.col("backward") + size) & ~F.col("back.forward").eqNullSafe(F.col("backward")), run("backward", "back.r", "r", "begin", "j"))
+    return known.select("id", "h", F.explode(F.filter(F.array(up, down), lambda x: x.isNotNull())).alias("run")).select("id", "h", "run.*")
+
+
+def _doubled(blocks: DataFrame, k: int, min_words: int) -> DataFrame:
+    """From blocks of 2^k lines those of twice as many, with (a, b) the ranks of their halves. Blocks that are too long to be part of
+    a shortest run are left out."""
+    size = 1 << k
+    own = Window.partitionBy("id", "h").orderBy("p")
+    later = F.lead(F.struct("p", "j", "w", "wl", "r", "backward", "begin"), size).over(own)
+    both = blocks.withColumn("t", later).where(F.col("t.p") == F.col("p") + size)
+    both = both.select("id", "h", "p", "i", "t.j", (F.col("w") + F.col("t.w")).alias("w"), "wf", "t.wl", F.col("r").alias("a"), F.col("t.r").alias("b"), "forward", "t.backward", "end", "t.begin")
+    return both.where((F.col("w") - F.col("wl") < min_words) | (F.col("w") - F.col("wf") < min_words))
+
+
+def intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, h, m, x, y, first_line, last_line: all shortest runs of min_words words whose blocks are repeated, named by interval."""
+    rows = saved(_sequences(docs))
+    own = ranked(rows)
+    if not rows.where("p = 0").groupBy("id", "h").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["id", "h", "p"])  # fully equal rows
+    blocks, found, k = saved(_lengths(own, min_words)), None, 0
+    while True:
+        new = _intervals(blocks, k)
+        found = new if found is None else found.unionByName(new)
+        if 2 << k > min_words:
+            return found
+        halves = saved(_doubled(blocks, k, min_words))
+        if halves.isEmpty():
+            return found
+        blocks, k = saved(ranked(halves)), k + 1
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,11 +116,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Lines are numbered from 0. Rows of one doc_id are told apart by h, a hash of their text; fully equal rows count as one.
     """
-    runs = saved(_runs(docs, min_words))
-    name = ["kind", "name", "guard"]
+    runs = saved(intervals(docs, min_words))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "first_line")
-    firsts = runs.groupBy(*name).agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin != latest").drop("latest")
-    later = runs.join(firsts, name).where(place != F.col("origin"))
+    name = ["m", "x", "y"]
+    firsts = saved(runs.groupBy(*name).agg(F.min(place).alias("origin"), F.max(place).alias("latest"), F.count("*").alias("__n")).where("origin != latest").drop("latest"))
+    later = join_hot(runs, firsts, name, "__n", runs.count()).where(place != F.col("origin"))
     return later.groupBy("id", "h").agg(F.collect_set(F.struct("first_line", "last_line")).alias("spans"))
 
 
