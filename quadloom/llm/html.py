@@ -1,44 +1,54 @@
 """Operator 4: main text of web pages by equivalence-class template deduction.
 
-Markup tokens are told apart by the path of elements around them. Over the pages of one host, tokens with the same occurrence
-vector form an equivalence class. A vector is kept as a 64-bit sum of count x hash(page), which partial aggregates combine, so a
-host's pages never meet in one task. A class is valid if it covers most of the host's pages and its tokens occur in one order.
-Valid classes make the host's template. The text between template tokens fills its slots; the slots of the article are
-extracted. Fixed lists of element names and class words tell navigation, adverts and the like; beside them, a block of text that
-is a template token itself (on most pages of the host, in one place) is constant and no slot. As copies of an article would turn
-it into template, the pages a text token is on must differ in their texts, and a page that would lose most of its text stays whole.
+Markup tokens are told apart by the path of elements around them; a block of text is a token as well, told by its path and text. Over
+the pages of one host, tokens with the same occurrence vector form an equivalence class. A vector is kept as a 64-bit sum of
+hashes of (page, count), which partial aggregates combine, so a host's pages never meet in one task. A class is valid if it covers enough of the
+host's pages and its tokens occur in one order. Valid classes, in the order of their places, make the host's template. The text between template tokens fills its
+slots, and slots are what is extracted: a block of text that is itself a template token is constant and goes, be it menu, header,
+footer or notice, whatever its element is called. As copies of an article would turn it into template, the pages a text token is on
+must differ in their sentences, and constant sentences stay where they would be most of what a page says.
+
+What varies from page to page and is still no article (reader comments, adverts, related links, forms) cannot be told by a
+template. Fixed lists of element names and class words name these parts. Class words that are ambiguous inside an article
+(`WEAK`) do not count there; the template decides alone. Inside article elements a text token needs more support.
 """
 
-from __future__ import annotations
-
 import hashlib
 import html as entities
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.common import saved, slices, small_batches, table
 
-#: Share of a host's pages on which a template token occurs.
-SUPPORT = 0.5
-#: Pages with different texts that a text token is on at least.
-LEAST = 3
-#: Hosts' templates are joined to pages in so many copies, so that a host with very many pages is dealt to as many tasks.
-SALTS = 64
+#: Share of a host's pages on which a template token occurs: markup, text, and text inside article elements.
+SUPPORT, TEXT_SUPPORT, ARTICLE_SUPPORT = 0.5, 0.3, 0.9
+#: Pages with different texts that a text token is on at least, and one inside article elements.
+LEAST, ARTICLE_LEAST = 3, 5
+#: Pages of a host that are joined to its template in one task, about.
+TOGETHER = 1 << 12
 #: Characters of a path that a token's name spells out; what is above is named by a 128-bit hash.
 LONG = 400
+#: Words that make a block a sentence, which copied articles have and menus have not.
+SENTENCE = 10
+#: So many blocks in turn that are links as a whole are a menu, outside article elements.
+LINKS = 3
 
 # Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template iframe object svg canvas math head title nav header footer aside form button select option textarea label fieldset menu dialog datalist audio video map".split())
 BLOCKS = frozenset("address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose class says something of the page, not of a part beside the article.
-WHOLE = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
 #: Words of class, id and role values of parts that are no article.
-CHROME = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot colophon cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies disqus respond share sharing social related recommended widget toolbar pager pagination search form skip complementary contentinfo".split())
+CHROME = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar navbar navigation menu breadcrumb breadcrumbs masthead colophon cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist reply replies disqus respond share sharing social related recommended widget toolbar pager pagination complementary contentinfo".split())
+#: The same, but words that parts of an article have as well.
+WEAK = frozenset("banner side rail nav header footer foot notice notices alert popup modal overlay search form skip".split())
+#: Of CHROME, words that count on article elements, whose class often tells of the page's layout.
+CARDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[A-Za-z/])[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg")}
@@ -78,7 +88,9 @@ class Tree:
 
     def __init__(self):
         self.ids: dict[tuple, int] = {}
-        self.parents, self.own, self.in_article, self.names = [0], [("", ())], [False], [""]
+        self.parents, self.own, self.names = [0], [("", ())], [""]
+        #: Whether the node is in an article element (or one that is marked so), and in a link.
+        self.in_article, self.in_link = [False], [False]
 
     def node(self, parent: int, name: str, marks: tuple) -> int:
         key = (parent, name, marks)
@@ -91,26 +103,45 @@ class Tree:
                 above = f"#{hashlib.blake2b(above.encode(), digest_size=16).hexdigest()}"
             self.parents.append(parent)
             self.own.append((name, marks))
-            self.in_article.append(self.in_article[parent] or "article" in own)
+            self.in_article.append(self.in_article[parent] or name == "article" or "article" in marks)
+            self.in_link.append(self.in_link[parent] or name == "a")
             self.names.append(f"{above}/{own}")
         return at
 
-    def below(self, top: int) -> list[bool]:
-        """For each node, whether it is `top` or below it."""
+    def below(self, tops: set[int]) -> list[bool]:
+        """For each node, whether it is one of `tops` or below it."""
         out = [False] * len(self.parents)
         for i in range(len(out)):
-            out[i] = i == top or (i > 0 and out[self.parents[i]])
+            out[i] = i in tops or (i > 0 and out[self.parents[i]])
+        return out
+
+    def gone(self) -> list[bool]:
+        """For each node, whether it is no part of an article by its own or an ancestor's name or class words. The class words of an
+        element with an article element inside tell of the layout."""
+        n = len(self.parents)
+        out, holds = [False] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            if (self.own[i][0] == "article" and not CARDS.intersection(self.own[i][1])) or holds[i]:
+                holds[self.parents[i]] = True
+        for i in range(1, n):
+            above, (name, marks) = self.parents[i], self.own[i]
+            inside = self.in_article[above]
+            if out[above] or (name in DROPPED and not (name == "header" and inside)):
+                out[i] = True
+            elif name == "article":
+                out[i] = bool(CARDS.intersection(marks))
+            elif name not in WHOLE and not holds[i]:
+                out[i] = bool(CHROME.intersection(marks)) or (not inside and "article" not in marks and bool(WEAK.intersection(marks)))
         return out
 
 
 def walk(page: str, tree: Tree):
-    """(node, name, text, dropped) of a page in order: text is None at a tag; node is the path of the open elements, dropped says
-    whether one of them is no part of an article."""
-    stack: list[tuple[str, int, bool]] = []  # name, node, dropped
+    """(node, name, text) of a page in order: text is None at a tag; node is the path of the open elements."""
+    stack: list[tuple[str, int]] = []
     for kind, name, marks, text in tokens(page):
-        path, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        path = stack[-1][1] if stack else 0
         if kind == "text":
-            yield path, "", text, dropped
+            yield path, "", text
         elif kind == "open":
             closing = IMPLIED.get(name, set()) | ({"p"} if name in CLOSES_P else set())
             if closing:
@@ -120,18 +151,17 @@ def walk(page: str, tree: Tree):
                         break
                     if stack[k][0] in BLOCKS and stack[k][0] != "p":
                         break
-                path, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                path = stack[-1][1] if stack else 0
             own = tree.node(path, name, marks)
-            gone = dropped or (name in DROPPED and not (name == "header" and tree.in_article[path])) or (name not in WHOLE and bool(CHROME.intersection(marks)))
-            yield own, name, None, gone
+            yield own, name, None
             if name not in VOID:
-                stack.append((name, own, gone))
+                stack.append((name, own))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            yield (stack[-1][1] if stack else 0), f"/{name}", None, dropped
+            yield (stack[-1][1] if stack else 0), f"/{name}", None
 
 
 def host(url: str | None) -> str:
@@ -139,74 +169,87 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_node(held: list[int], tree: Tree) -> int:
-    """The path whose slots are the article's: the lowest one above all article elements with text (or elements of that class, id or
-    role), else above all main ones, else the page."""
+def main_nodes(held: list[int], tree: Tree) -> tuple[set[int], bool]:
+    """The paths whose slots are the article's, and whether these are article or main elements: all article elements with text; else
+    the lowest path above all elements that are marked so by class, id or role; the same for main; else the page."""
     for word in ("article", "main"):
-        found = [p for p in range(1, len(held)) if held[p] and (word == tree.own[p][0] or word in tree.own[p][1])]
-        if found:
+        if found := {p for p in range(1, len(held)) if held[p] and tree.own[p][0] == word}:
+            return found, True
+        if found := [p for p in range(1, len(held)) if held[p] and word in tree.own[p][1]]:
             top = found[0]
             for p in found[1:]:
                 while p != top:  # a parent is less than its children
                     p, top = (tree.parents[p], top) if p > top else (p, tree.parents[top])
-            return top
-    return 0
+            return {top}, True
+    return {0}, False
 
 
 def slots(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]]]:
-    """The page's distinct markup tokens with their counts, by first place; and the article's blocks in page order: text token,
-    text, and the rank of the markup before it. A text token is a hash of the block's path and text."""
+    """The page's distinct markup tokens with their counts, by first place; and the blocks of text that may be the article's, in page
+    order: text token, text, and the rank of the markup before it. A text token is "=" (inside article elements) or "~" (elsewhere)
+    and a hash of the block's path and text."""
     tree, count = Tree(), {}
     seen = []
-    for path, name, text, dropped in walk(page, tree):
+    for path, name, text in walk(page, tree):
         if text is None and name[:1] != "/":
             count[tree.names[path]] = count.get(tree.names[path], 0) + 1
-        seen.append((path, name, text, dropped, len(count)))
+        seen.append((path, name, text, len(count)))
+    gone = tree.gone()
     held = [0] * len(tree.parents)
-    for path, _, text, dropped, _ in seen:
-        if not dropped and text is not None:
+    for path, _, text, _ in seen:
+        if not gone[path] and text is not None:
             held[path] += len(text.strip())
     for i in range(len(held) - 1, 0, -1):
         held[tree.parents[i]] += held[i]
-    inside = tree.below(main_node(held, tree))
-    blocks, now, at = [], [], []
+    tops, named = main_nodes(held, tree)
+    inside = tree.below(tops)
+    kind = "=" if named else "~"
+    blocks, links, now, at = [], [], [], []
 
     def close():
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
             token = hashlib.blake2b(f"{tree.names[at[0][0]]}\n{text}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-            blocks.append((f"={token}", text, at[0][1]))
+            blocks.append((kind + token, text, at[0][1]))
+            links.append(all(tree.in_link[x] for x, _ in at))
         now.clear()
         at.clear()
 
-    for path, name, text, dropped, rank in seen:
+    for path, name, text, rank in seen:
         if text is None:
             if name.lstrip("/") in BLOCKS:
                 close()
-        elif not dropped and inside[path]:
+        elif not gone[path] and inside[path]:
             now.append(text)
             if text.strip():
                 at.append((path, rank))
     close()
+    if not named and not all(links):
+        menu = [False] * len(blocks)
+        for i in range(len(blocks) - LINKS + 1):
+            if all(links[i : i + LINKS]):
+                menu[i : i + LINKS] = [True] * LINKS
+        blocks = [x for x, out in zip(blocks, menu, strict=True) if not out]
     return list(count.items()), blocks
 
 
 def sketch(texts: list[str]) -> int:
-    """The least hash of the texts' runs of three words: pages whose texts are alike share it about as often as they are alike."""
-    words = " ".join(texts).encode("utf-8", "surrogatepass").split()
+    """The least hash of the sentences' runs of three words (of all texts' if there are none): pages whose sentences are alike share it
+    about as often as these are alike."""
+    words = " ".join([x for x in texts if len(x.split()) >= SENTENCE] or texts).encode("utf-8", "surrogatepass").split()
     runs = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
     return min(zlib.crc32(b" ".join(x)) for x in runs)
 
 
 def extract(page: str, template: list[str] | None) -> str:
-    """The article's text: blocks in page order, one a line, without those that are tokens of the template. A page most of whose
-    text would go is a copy of others, and stays whole."""
+    """The article's text: blocks in page order, one a line, without those that are tokens of the template. Constant sentences stay
+    on a page that would have less text without them than they are: it is a copy of others."""
     blocks = slots(page)[1]
-    constant = {t for t in template or () if t[:1] == "="}
-    filled = [text for token, text, _ in blocks if token not in constant]
-    if 2 * sum(map(len, filled)) < sum(len(text) for _, text, _ in blocks):
-        filled = [text for _, text, _ in blocks]
-    return "\n".join(filled)
+    constant = {t for t in template or () if t[:1] in "=~"}
+    size = lambda sentence: sum(len(x) for t, x, _ in blocks if (t in constant) == sentence and (not sentence or len(x.split()) >= SENTENCE))
+    if size(True) > size(False):
+        constant = {t for t, x, _ in blocks if t in constant and len(x.split()) < SENTENCE}
+    return "\n".join(text for token, text, _ in blocks if token not in constant)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -231,28 +274,41 @@ def occurrences(pages: DataFrame) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])], schema.names)
 
-    # 31-bit page hashes: sums of count x hash stay inside a long
-    rows = small_batches(pages).select("url", F.coalesce("html", F.lit("")).alias("html"), F.shiftrightunsigned(F.xxhash64("page_id", "url"), 33).cast("long").alias("page")).mapInArrow(run, schema)
-    parts = rows.groupBy("host", "token", "sketch").agg(F.count("*").alias("n_pages"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
+    rows = small_batches(pages).select("url", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "url").alias("page")).mapInArrow(run, schema)
+    cell = F.shiftrightunsigned(F.xxhash64("page", "n"), 31)  # 33 bits: sums over 2^30 pages stay inside a long
+    parts = rows.groupBy("host", "token", "sketch").agg(F.count("*").alias("n_pages"), F.sum(cell).alias("vector"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
     return parts.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.count("*").alias("n_texts"), F.sum("vector").alias("vector"), F.min("least_rank").alias("least_rank"), F.max("most_rank").alias("most_rank"))
 
 
-def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, template: the tokens of the host's valid equivalence classes, by place.
+def _host(url: Column) -> Column:
+    """host() as a column: Java's match is the same."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def _totals(pages: DataFrame) -> DataFrame:
+    """host, pages: how many pages each host has."""
+    return pages.groupBy(_host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+def templates(pages: DataFrame, support: float = SUPPORT, text_support: float = TEXT_SUPPORT, article_support: float = ARTICLE_SUPPORT) -> DataFrame:
+    """host, pages, template: the tokens of the host's valid equivalence classes, by place, and how many pages the host has.
 
     A class holds the tokens with one vector; it is valid if it is on `support` of the host's pages at least and its tokens'
-    ranges of rank keep one order (the class of a host's only page always is). Text tokens have to be on LEAST pages at least, and
-    the pages they are on have to differ: half as many sketches as pages.
+    ranges of rank keep one order (the class of a host's only page always is); tokens of equal rank are ordered by name. Text tokens
+    need `text_support`, or `article_support` inside article elements, and LEAST or ARTICLE_LEAST pages, which have to differ: half as
+    many sketches as pages. Repeated rows count as pages of their own.
     """
-    all_tokens = occurrences(pages)
-    text = F.col("token").startswith("=")
+    kind = F.substring("token", 1, 1)
+    least = F.when(kind == "~", LEAST).when(kind == "=", ARTICLE_LEAST).otherwise(1)
+    text = kind.isin("~", "=")
     # most texts are on one page only
-    tokens_of = saved(all_tokens.where(~text | ((F.col("n_texts") >= LEAST) & (2 * F.col("n_texts") >= F.col("n_pages")))))
-    total = tokens_of.where(~text).groupBy("host").agg(F.max("n_pages").alias("pages"))
+    tokens_of = saved(occurrences(pages).where(~text | ((F.col("n_texts") >= least) & (2 * F.col("n_texts") >= F.col("n_pages")))))
+    total = _totals(pages)
+    share = F.when(kind == "~", text_support).when(kind == "=", article_support).otherwise(support)
     rank = F.struct("least_rank", "most_rank", "token")
-    classes = tokens_of.join(total, "host").where(F.col("n_pages") >= support * F.col("pages")).groupBy("host", "n_pages", "vector").agg(F.sort_array(F.collect_list(rank)).alias("members"))
+    classes = tokens_of.join(total, "host").where(F.col("n_pages") >= share * F.col("pages")).groupBy("host", "pages", "n_pages", "vector").agg(F.sort_array(F.collect_list(rank)).alias("members"))
     ordered = F.forall(F.transform("members", lambda m, i: F.coalesce(F.get("members", i - 1)["most_rank"] <= m["most_rank"], F.lit(True))), lambda ok: ok)
-    return classes.where(ordered).select("host", F.explode("members").alias("m")).groupBy("host").agg(F.sort_array(F.collect_list("m")).alias("t")).select("host", F.col("t.token").alias("template"))
+    return classes.where(ordered).select("host", "pages", F.explode("members").alias("m")).groupBy("host", "pages").agg(F.sort_array(F.collect_list("m")).alias("t")).select("host", "pages", F.col("t.token").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -271,11 +327,14 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(page, template) for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema.names)
 
-    # Java's match of the host as in host()
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
-    salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), name.alias("__ql_host"), salt.alias("__ql_salt"))
-    known = templates(pages).select(F.col("host").alias("__ql_host"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ql_salt"))
+    # hosts with very many pages, of which there are few, are dealt to several tasks
+    parts = F.ceil(F.col("pages") / TOGETHER).cast("int")
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host(F.col("url")).alias("__ql_host"))
+    known = saved(templates(pages))
+    large = F.broadcast(known.where(F.col("pages") > TOGETHER).select(F.col("host").alias("__ql_large"), parts.alias("__ql_parts")))
+    salt = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("__ql_parts", F.lit(1))).cast("int")
+    own = own.join(large, F.col("__ql_host") == F.col("__ql_large"), "left").withColumn("__ql_salt", salt)
+    known = known.select(F.col("host").alias("__ql_host"), "template", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__ql_salt"))
     return own.join(known, ["__ql_host", "__ql_salt"], "left").select("page_id", "url", "html", "template").mapInArrow(run, schema)
 
 

@@ -553,6 +553,45 @@ def test_constant_text_goes_and_copied_articles_stay(spark):
     assert all([x for x in got[10 + k] if x in ps] == ps for k, ps in enumerate(edited))
 
 
+def test_template_decides_where_no_name_tells(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    own = [[words(6), words(25), words(8), words(14)] for _ in range(8)]
+    menu = [words(1) for _ in range(4)]
+    notice = words(20)
+    page = lambda k, ps: (
+        f"<body><div><span>{menu[k % 4]}</span><div>{menu[(k + 1) % 4]}</div></div><div><div>{ps[0]}</div><div>{ps[1]}</div><div><div>{ps[2]}</div></div><div>{ps[3]}</div></div>"
+        f"<div>{notice}</div><div><div><a href=x>{words(3)}</a></div><div><a href=y>{words(3)}</a></div><div><a href=z>{words(3)}</a></div></div><div>imprint</div></body>"
+    )
+    rows = [(k, f"http://plain.example/{k}", page(k, ps)) for k, ps in enumerate(own)]
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, ps in enumerate(own):
+        left = [x for x in got[k] if x not in menu]
+        assert left == ps and len(got[k]) <= len(ps) + 2
+        assert {"imprint", notice} < set(html.extract(rows[k][2], None).split("\n"))
+
+
+def test_words_inside_articles_do_not_decide():
+    text = "some text " * 20
+    page = f"<body class='no-sidebar'><div class='menu-layout'><article class='has-sidebar'><div class=entry-header><h1>Title</h1></div><p class=form>{text}</p><footer>by me</footer></article><article class=second><p>more</p></article></div><div class=search>find</div></body>"
+    assert html.extract(page, None).split("\n") == ["Title", text.strip(), "more"]
+    deep = f"<article>{'<div class=x>' * 100}<p>{text}</p>{'</div>' * 100}<article class=comment><p>first!</p></article></article>"
+    assert html.extract(deep, None) == text.strip()
+
+
+def test_vectors_of_many_pages_stay_apart(spark):
+    """Against plain Python: classes are tokens with equal counts on all pages."""
+    pages = [(i, "http://h.example/", f"<div>{'<p>x</p>' * (i % 2 + 1)}{'<hr>' * (i % 2 + 1)}<ul>{'<li>y' * 2}</ul>{'<img>' if i < 2 else ''}</div>") for i in range(6)]
+    got = html.occurrences(spark.createDataFrame(pages, "page_id long, url string, html string")).where("substring(token, 1, 1) = '/'").collect()
+    by_vector, want = {}, {}
+    for r in got:
+        by_vector.setdefault((r.n_pages, r.vector), set()).add(r.token)
+    counts = [dict(html.slots(x)[0]) for *_, x in pages]
+    for t in {t for c in counts for t in c}:
+        want.setdefault(tuple(c.get(t, 0) for c in counts), set()).add(t)
+    assert sorted(map(sorted, by_vector.values())) == sorted(map(sorted, want.values())) and len(want) == 4
+
+
 def test_template_classes(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><nav>{'<li>x' * (i % 3 + 1)}</nav><article><h1>t</h1>{'<p>y</p>' * (i + 1)}</article>{'<hr>' if i == 0 else ''}</html>") for i in range(6)]
     tokens = html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first().template
