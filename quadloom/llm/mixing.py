@@ -2,18 +2,16 @@
 
 A source's documents, in an order fixed by a hash, lie end to end on its token axis, once for every time round. The weight
 schedule of a source is integrated to its cumulative token demand; inverting that at a copy's midpoint gives the copy's position
-in training, and the mix is range-sorted by position. Everything is DataFrame expressions; only per-source sums reach the driver.
+in training, and the mix is range-sorted by position. Everything is DataFrame expressions, sums and targets of sources included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadloom.llm.common import WORD, saved, table, text_of
+from quadloom.llm.common import WORD, join_hot, saved, table, text_of
 
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes that the mix takes, and the most a source may be taken.
@@ -25,77 +23,92 @@ SLOPES = {5: 0.5, 2: 0.0, 1: -0.5}
 BUCKET_ROWS = 1 << 13
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Per source the words to take: `share` of all words split by weight, none above `most` times its size, the excess reshared.
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of `sums`, its total over all rows before in `order`. Rows are sorted by ranges, and a window walks each range;
+    what comes before a range is one row a partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    begins = dealt.groupBy("__part").agg(*(F.sum(v).alias(f"__{k}") for k, v in sums.items()))
+    begins = F.broadcast(begins.select("__part", *(F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums)))
+    own = dealt.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(k) for k, v in sums.items()))
+    return own.join(begins, "__part").select(*rows.columns, *((F.col(k) + F.col(f"__{k}")).alias(k) for k in sums))
+
 
-    Sources are ordered by code point, null last, and take the weights in turn. Sources without words get 0.
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sources (source, source_size; one row each) with weight and target, the words to take: `share` of all words split by weight,
+    none above `most` times its size, the excess reshared.
+
+    Sources are ordered by code point, null last, and take the weights in turn. Sources without words get 0. In ascending order of
+    size per weight, sources are full as long as the level that the rest would share lies above theirs; the rest share what is left.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out, rest, open_ = {}, share * sum(sizes.values()), list(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if rest * weight[s] / total > most * sizes[s]]
-        if not full:
-            out |= {s: rest * weight[s] / total for s in open_}
-            break
-        for s in full:
-            out[s] = most * sizes[s]
-        rest -= sum(out[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return {s: float(out[s]) for s in order}
+    size, level = most * F.col("source_size").cast("double"), F.col("__full") / F.col("weight")
+    turn = F.get(F.array(*(F.lit(w) for w in weights)), F.pmod("__nth", F.lit(len(weights))).cast("int"))
+    weighted = _before(sources, [F.col("source").asc_nulls_last()], {"__nth": F.lit(1)}).withColumn("weight", turn).drop("__nth")
+    filled = _before(weighted.withColumn("__full", size), [level, F.col("source").asc_nulls_last()], {"__sizes": F.col("__full"), "__weights": F.col("weight")})
+    whole = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))  # one row
+    ready = saved(filled.crossJoin(F.broadcast(whole)).withColumn("__is_full", level < (share * F.col("words") - F.col("__sizes")) / (F.col("all_weights") - F.col("__weights"))))
+    full = F.col("__is_full")
+    rest = ready.agg(F.coalesce(F.sum(F.when(full, F.col("__full"))), F.lit(0.0)).alias("taken"), F.coalesce(F.sum(F.when(full, F.col("weight"))), F.lit(0)).alias("out"))  # one row
+    left = (share * F.col("words") - F.col("taken")) * F.col("weight") / F.nullif(F.col("all_weights") - F.col("out"), F.lit(0))
+    return ready.crossJoin(F.broadcast(rest)).select(*sources.columns, "weight", F.when(full, F.col("__full")).otherwise(left).alias("target"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"))
 
 
-def _corrected(counted: DataFrame, most: float) -> DataFrame:
+def _key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _corrected(counted: DataFrame, sources: DataFrame, most: float, total: int) -> DataFrame:
     """One copy more or less of one document a source, where that brings the source nearer to its target: the one whose length is
-    nearest to what is missing or too much, of equals the first by hash."""
-    counted = saved(counted)
-    gaps = counted.groupBy("source").agg((F.first("target") - F.sum(F.col("length") * F.col("copies"))).alias("gap"))
+    nearest to what is missing or too much, of equals the first by hash. counted, sources: saved; sources has key and rows."""
+    gaps = counted.groupBy("key").agg((F.first("target") - F.sum(F.col("length") * F.col("copies"))).alias("gap"))
+    gaps = saved(sources.select("key", "rows").join(gaps, "key"))
     spare = F.when(F.col("gap") > 0, F.col("copies") + 1 <= most).otherwise(F.col("copies") > 0) & (F.abs(F.abs("gap") - F.col("length")) < F.abs("gap"))
-    near = counted.join(F.broadcast(gaps.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).where(spare & (F.col("length") > 0))  # as many rows as sources
-    best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("length")).alias("off"), "h", "doc_id", "size", F.signum("gap").cast("int").alias("step"))).alias("b"))
-    best = F.broadcast(best.select(F.col("source").alias("s"), F.col("b.doc_id").alias("d"), F.col("b.size").alias("z"), F.col("b.step").alias("step")))
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
-    return counted.join(best, same, "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("s", "d", "z", "step")
+    near = join_hot(counted.select("key", "h", "doc_id", "size", "length", "copies"), gaps, "key", "rows", total).where(spare & (F.col("length") > 0))
+    best = near.groupBy("key").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("length")).alias("off"), "h", "doc_id", "size", F.signum("gap").cast("int").alias("step"))).alias("b"))
+    best = saved(gaps.select("key", "rows").join(best, "key", "left"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("size") == F.col("b.size"))
+    return join_hot(counted, best, "key", "rows", total).withColumn("copies", F.col("copies") + F.when(is_best, F.col("b.step")).otherwise(0)).drop("b", "rows")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, slopes: dict[int, float] = SLOPES, seed: int = SEED, targets_of: Callable = targets) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, slopes: dict[int, float] = SLOPES, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, n, source_size, target, copies, positions: one row per distinct (doc_id, source, size) of docs.
 
     size: the words of the text (null or empty: 0). n: the rows of docs that share the key; they are decided together. copies:
     how often each is taken, such that a source's copies begin before its target is
     reached, by midpoints, with one copy more or less where that comes nearer. positions: the place
-    of each copy in training, 0 to 1. The number of sources, each with a weight, is taken to be small; nothing else is.
+    of each copy in training, 0 to 1. There may be as many sources as rows, and one may have most of them.
     """
-    keyed = saved(_sized(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
-    known = {r.source: r for r in keyed.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows")).collect()}  # one row a source
-    sizes = {s: int(r.size) for s, r in known.items()}
-    wanted = targets_of(sizes, weights, share, most) if sizes else {}
-    spark = docs.sparkSession
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    rows = [(s, sizes[s], wanted[s], float(slopes.get(weights[i % len(weights)], 0.0)), max(0, min(32, (known[s].rows // BUCKET_ROWS).bit_length()))) for i, s in enumerate(order)]
-    sources = F.broadcast(spark.createDataFrame(rows, "source string, source_size long, target double, slope double, bits int"))
+    keyed = saved(_sized(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("key", _key(F.col("source"))))
+    total = keyed.count()
+    known = keyed.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
+    slope = F.coalesce(*(F.when(F.col("weight") == w, F.lit(float(a))) for w, a in slopes.items()), F.lit(0.0))
+    # bits of the hash that tell a source's buckets apart
+    bits = F.least(F.lit(32), F.when(F.col("rows") < BUCKET_ROWS, 0).otherwise(F.floor(F.log2(F.floor(F.col("rows") / BUCKET_ROWS))) + 1)).cast("int")
+    sources = saved(targets(known, weights, share, most).select("key", "rows", "source_size", "target", slope.alias("slope"), bits.alias("bits")))
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size"))
     placed = (
-        keyed.withColumnRenamed("source", "own")
-        .join(sources, F.col("own").eqNullSafe(F.col("source")))
-        .drop("own")
+        join_hot(keyed, sources, "key", "rows", total)
+        .drop("rows")
         .withColumn("h", hashed)
         .withColumn("bucket", F.expr("shiftright(cast(conv(substring(h, 1, 8), 16, 10) as bigint), 32 - bits)"))  # the highest bits
         .withColumn("length", F.col("size") * F.col("n"))
     )
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = placed.groupBy("source", "bucket").agg(F.sum("length").alias("length")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = placed.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b", "own")
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = placed.groupBy("key", "bucket").agg(F.sum("length").alias("length")).select("key", "bucket", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = placed.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(begins, ["key", "bucket"])
     middle = F.col("begin") + F.col("inside") + F.col("length") / 2
     whole = F.col("source_size")
     counted = start.withColumn("middle", middle).withColumn("copies", F.when(F.col("length") == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("middle")) / whole))).cast("int"))
-    counted = saved(_corrected(counted, most))
+    counted = saved(counted.drop("bucket", "begin", "inside", "bits"))
+    counted = _corrected(counted, sources, most, total)
 
     def position(e):
         y = F.least(F.lit(1.0), (F.col("middle") + e * whole) / F.col("target"))  # share of the source's demand that is met before
@@ -108,7 +121,11 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix takes, as often as it takes them, sorted by ranges of training position; columns as in docs."""
+    """The rows of docs that the mix takes, as often as it takes them, sorted by ranges of training position; columns as in docs.
+
+    Null and empty texts are of no words and are not taken; null ids and sources count like others; rows that share id, source and
+    size are taken alike. An empty table stays empty.
+    """
     planned = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__ql_id"), F.col("source").alias("__ql_source"), F.col("size").alias("__ql_size"), F.col("positions").alias("__ql_positions"))
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
     same = docs["doc_id"].eqNullSafe(planned["__ql_id"]) & docs["source"].eqNullSafe(planned["__ql_source"]) & (size == planned["__ql_size"])

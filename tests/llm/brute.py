@@ -94,3 +94,24 @@ def base_spans(text):
 
     found = [(m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if ok(kind, m[0])]
     return [f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found)]
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Per source the words to take: `share` of all words split by weight, none above `most` times its size, the excess reshared.
+
+    Sources are ordered by code point, null last, and take the weights in turn. Sources without words get 0.
+    """
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, rest, open_ = {}, share * sum(sizes.values()), list(order)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if rest * weight[s] / total > most * sizes[s]]
+        if not full:
+            out |= {s: rest * weight[s] / total for s in open_}
+            break
+        for s in full:
+            out[s] = most * sizes[s]
+        rest -= sum(out[s] for s in full)
+        open_ = [s for s in open_ if s not in out]
+    return {s: float(out[s]) for s in order}

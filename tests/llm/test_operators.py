@@ -341,12 +341,21 @@ def test_components_of_chains_and_hubs(spark):
 # ---- 7
 
 
-def test_targets():
-    got = mixing.targets({"a": 100, "b": 1000, None: 10, "c": 0})
+def test_targets(spark):
+    def targets(sizes):
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        out = {r.source: r.target for r in mixing.targets(rows).collect()}
+        assert out == pytest.approx(brute.targets(sizes))
+        return out
+
+    rnd = random.Random(9)
+    for n in (0, 1, 2, 7, 60):
+        targets({None if k == 5 else f"s{k}": rnd.choice([0, 1, 9, 100, 5000]) for k in range(n)})
+    got = targets({"a": 100, "b": 1000, None: 10, "c": 0})
     # a, b, c, null weigh 5, 2, 1, 5; a and null are full at twice their size, c has nothing, b takes the rest
     assert got == {"a": 200.0, "b": 1445.0, "c": 0.0, None: 20.0}
     assert sum(got.values()) == 1.5 * 1110
-    assert mixing.targets({"b": 10, "a": 10, "c": 10}) == {"a": 20.0, "b": pytest.approx(50 / 3), "c": pytest.approx(25 / 3)}
+    assert targets({"b": 10, "a": 10, "c": 10}) == {"a": 20.0, "b": pytest.approx(50 / 3), "c": pytest.approx(25 / 3)}
 
 
 def slow_mix(rows, seed_order):
@@ -354,7 +363,7 @@ def slow_mix(rows, seed_order):
     sizes = {}
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
-    wanted, out = mixing.targets(sizes), {}
+    wanted, out = brute.targets(sizes), {}
     for s, total in sizes.items():
         own = [(i, n) for i, src, n in seed_order if src == s]
         at, copies = 0, {}
