@@ -53,13 +53,15 @@ def sample(source: np.ndarray, col: np.ndarray, row: np.ndarray, scale: float =
     reach = math.ceil(LOBES * scale)
     total, weight = np.zeros((flat_c.size, bands)), np.zeros(flat_c.size)
     base_c, base_r = np.floor(flat_c).astype(int), np.floor(flat_r).astype(int)
-    for dr in range(1 - reach, reach + 1):
-        r = base_r + dr
+    # the kernel is a product of both axes: each axis' weights are found once
+    shifts = range(1 - reach, reach + 1)
+    across = [(np.clip(c, 0, w - 1), np.where((c >= 0) & (c < w), lanczos((c - flat_c) / scale), 0.0)) for c in (base_c + d for d in shifts)]
+    for r in (base_r + d for d in shifts):
         wr = np.where((r >= 0) & (r < h), lanczos((r - flat_r) / scale), 0.0)
-        for dc in range(1 - reach, reach + 1):
-            c = base_c + dc
-            k = wr * np.where((c >= 0) & (c < w), lanczos((c - flat_c) / scale), 0.0)
-            total += k[:, None] * source[np.clip(r, 0, h - 1), np.clip(c, 0, w - 1)]
+        line = np.clip(r, 0, h - 1)
+        for c, wc in across:
+            k = wr * wc
+            total += k[:, None] * source[line, c]
             weight += k
     out = np.floor(np.clip(total / np.where(weight == 0, 1, weight)[:, None], 0, 255) + HALF_UP).astype(np.uint8)
     return out.reshape(*col.shape, bands), inside

@@ -7,41 +7,140 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadloom.functions import tiles as t
+from quadloom.operators.lineage import saved
 
 
-def bbox_tiles(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y: float, zoom: int) -> DataFrame:
-    """z, x, y of every tile that touches a box in EPSG:3857 metres. Keys are made on the executors from a range."""
+def _range(min_x: float, min_y: float, max_x: float, max_y: float, zoom: int) -> tuple[int, int, int, int]:
     side, last = 2 * t.HALF / (1 << zoom), (1 << zoom) - 1
     clip = lambda v: int(max(0, min(last, v // 1)))
-    x0, x1 = clip((min_x + t.HALF) / side), clip((max_x + t.HALF) / side)
-    y0, y1 = clip((t.HALF - max_y) / side), clip((t.HALF - min_y) / side)
+    return clip((min_x + t.HALF) / side), clip((max_x + t.HALF) / side), clip((t.HALF - max_y) / side), clip((t.HALF - min_y) / side)
+
+
+def _n_tiles(min_x: float, min_y: float, max_x: float, max_y: float, zoom: int) -> int:
+    x0, x1, y0, y1 = _range(min_x, min_y, max_x, max_y, zoom)
+    return (x1 - x0 + 1) * (y1 - y0 + 1)
+
+
+def bbox_tiles(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y: float, zoom: int) -> DataFrame:
+    """z, x, y of every tile that touches a box in EPSG:3857 metres. Keys are made on the executors from a range."""
+    x0, x1, y0, y1 = _range(min_x, min_y, max_x, max_y, zoom)
     n = x1 - x0 + 1
     return spark.range(n * (y1 - y0 + 1)).select(F.lit(zoom).alias("z"), (F.col("id") % n + x0).cast("int").alias("x"), (F.floor(F.col("id") / n) + y0).cast("int").alias("y"))
 
 
-def in_polygon(tiles: DataFrame, edges: list[tuple[float, float, float, float]], bounds: dict[str, Column]) -> DataFrame:
-    """The tiles whose rectangle (`bounds`: min_x, min_y, max_x, max_y) meets the polygon of `edges`, touching included.
+EDGE = ("x1", "y1", "x2", "y2")
+BOX = ("min_x", "min_y", "max_x", "max_y")
+#: Levels between two steps of a descent, and cells that a descent may start from.
+DESCENT, FIRST_CELLS = 4, 1 << 12
+
+
+def _meets(e: Column, box: list[Column]) -> Column:
+    """Whether an edge meets a rectangle, touching included: their boxes overlap, and the corners are not all strictly on one side."""
+    x0, y0, x1, y1 = box
+    cross = [(e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
+    overlap = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
+    return overlap & (F.least(*cross) <= 0) & (F.greatest(*cross) >= 0)
+
+
+def _crosses(e: Column, box: list[Column]) -> Column:
+    """Whether an edge crosses the ray from the least corner to the right."""
+    x0, y0 = box[:2]
+    at = (e["x2"] - e["x1"]) * (y0 - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+    return ((e["y1"] > y0) != (e["y2"] > y0)) & (x0 < at)
+
+
+def _judged(cells: DataFrame) -> DataFrame:
+    """cells (BOX, edges: all that overlap the box's rows and reach its left side or lie right of it) that the polygon meets, with
+    partial: whether an edge meets the cell. Without one it is inside as a whole or outside as a whole, by even-odd crossings."""
+    box = [F.col(k) for k in BOX]
+    marked = cells.withColumn("partial", F.exists("edges", lambda e: _meets(e, box)))
+    inside = F.size(F.filter("edges", lambda e: _crosses(e, box))) % 2 == 1
+    return marked.where(F.when(F.col("partial"), True).otherwise(inside))
+
+
+def _near(box: list[Column]):
+    """Whether an edge can tell anything of a box."""
+    return lambda e: (F.greatest(e["y1"], e["y2"]) >= box[1]) & (F.least(e["y1"], e["y2"]) <= box[3]) & (F.greatest(e["x1"], e["x2"]) >= box[0])
+
+
+def polygon_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """cells (with BOX columns) that meet the polygon of `edges` (EDGE), with partial and edges as in _judged.
+
+    Cells and edges meet on bands of y as high as the cells, so no cell is tested against edges of other rows. An edge of any length is
+    listed once a band.
+    """
+    cells = saved(cells)
+    low, high, side = cells.agg(F.min("min_y"), F.max("max_y"), F.max(F.col("max_y") - F.col("min_y"))).first()
+    if low is None:
+        return cells.withColumn("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")).withColumn("partial", F.lit(False))
+    band = lambda v: F.floor((v - F.lit(low)) / F.lit(side)).cast("long")
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    near = edges.select(*(F.col(k).cast("double") for k in EDGE)).where((top >= low) & (bottom <= high))
+    banded = near.select(F.struct(*EDGE).alias("e"), F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), band(bottom)), F.least(band(F.lit(high)), band(top)))).alias("band"))
+    # edges that end on a cell's boundary count in both bands: cells ask for the bands of both ends
+    asked = cells.withColumn("cell", F.monotonically_increasing_id()).withColumn("band", F.explode(F.array_distinct(F.array(band(F.col("min_y")), band(F.col("max_y"))))))
+    box = [F.col(k) for k in BOX]
+    met = asked.join(banded, "band").where(_near(box)(F.col("e")))
+    lists = met.groupBy("cell").agg(F.first(F.struct(*cells.columns)).alias("c"), F.collect_set("e").alias("edges"))
+    return _judged(lists.select("c.*", "edges"))
+
+
+def in_polygon(tiles: DataFrame, edges: DataFrame | list, bounds: dict[str, Column], levels: int = DESCENT) -> DataFrame:
+    """The tiles (z, x, y) whose rectangle (`bounds`: min_x, min_y, max_x, max_y) meets the polygon of `edges`, touching included.
 
     An edge meets a rectangle if their boxes overlap and the corners do not all lie strictly on one side of it; else the
-    rectangle is inside if a corner is, by even-odd crossings. Holes are edges like others. The ring is part of the expression,
-    so the filter is narrow: no tile meets another row.
+    rectangle is inside if a corner is, by even-odd crossings. Holes are edges like others. The ancestors `levels` up are judged first:
+    tiles of one outside go and tiles of one inside stay unseen; the others are compared with their ancestor's edges only.
     """
-    ring = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(e, ("x1", "y1", "x2", "y2"), strict=True))) for e in edges))
-    x0, y0, x1, y1 = (F.col(f"__{k}") for k in ("min_x", "min_y", "max_x", "max_y"))
+    tiles, edges = saved(tiles), _edges(tiles, edges)
+    keyed = tiles.select("*", F.col("z").alias("__z"), t.ancestor("x", levels).alias("__x"), t.ancestor("y", levels).alias("__y"), *(bounds[k].cast("double").alias(f"__{k}") for k in BOX))
+    cell = ["__z", "__x", "__y"]
+    whole = keyed.groupBy(*cell).agg(*((F.min if k[:3] == "min" else F.max)(f"__{k}").alias(k) for k in BOX))
+    known = polygon_cells(whole, edges).select(*cell, "partial", "edges")
+    box = [F.col(f"__{k}") for k in BOX]
+    meets = F.exists("edges", lambda e: _meets(e, box)) | (F.size(F.filter("edges", lambda e: _crosses(e, box))) % 2 == 1)
+    return keyed.join(known, cell).where(F.when(F.col("partial"), meets).otherwise(True)).select(tiles.columns)
+
+
+def _edges(tiles: DataFrame, edges: DataFrame | list) -> DataFrame:
+    if isinstance(edges, DataFrame):
+        return edges
+    return tiles.sparkSession.createDataFrame([tuple(map(float, e)) for e in edges], ", ".join(f"{k} double" for k in EDGE))
 
-    def meets(e):
-        cross = [(e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
-        overlap = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
-        return overlap & (F.least(*cross) <= 0) & (F.greatest(*cross) >= 0)
 
-    def crossing(e):
-        spans = (e["y1"] > y0) != (e["y2"] > y0)
-        at = (e["x2"] - e["x1"]) * (y0 - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return spans & (x0 < at)
+def polygon_tiles(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y: float, zoom: int, edges: DataFrame | list) -> DataFrame:
+    """z, x, y of every tile of a zoom that touches a box in EPSG:3857 metres and meets the polygon of `edges`.
 
-    inside = F.size(F.filter(ring, crossing)) % 2 == 1
-    keyed = tiles.select("*", *(bounds[k].cast("double").alias(f"__{k}") for k in ("min_x", "min_y", "max_x", "max_y")))
-    return keyed.where(F.exists(ring, meets) | inside).select(tiles.columns)
+    A quadtree descent: cells of a low zoom are judged first, and only those on the outline are split, by some levels at a time and
+    with the edges near them. Cells inside become tiles without a test, so work grows with the outline and the result.
+    """
+    z = zoom
+    while z > 0 and _n_tiles(min_x, min_y, max_x, max_y, z) > FIRST_CELLS:
+        z = max(0, z - DESCENT)
+    first = bbox_tiles(spark, min_x, min_y, max_x, max_y, z)
+    cells = polygon_cells(first.select("*", *(v.alias(k) for k, v in t.bounds("z", "x", "y").items())), _edges(first, edges))
+    whole = None  # cells inside, of any zoom
+    while True:
+        cells = saved(cells.select("z", "x", "y", "partial", "edges"))
+        if z == zoom:
+            break
+        inside = cells.where("not partial").select("z", "x", "y")
+        whole = inside if whole is None else whole.unionByName(inside)
+        k = min(DESCENT, zoom - z)
+        z += k
+        split = cells.where("partial").select("edges", F.lit(z).alias("z"), F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(F.lit(0), F.lit((1 << 2 * k) - 1))).alias("i"))
+        split = split.select("z", (F.col("px") * (1 << k) + F.col("i") % (1 << k)).cast("int").alias("x"), (F.col("py") * (1 << k) + F.shiftright("i", k)).cast("int").alias("y"), "edges")
+        boxed = split.select("*", *(v.alias(n) for n, v in t.bounds("z", "x", "y").items()))
+        cells = _judged(boxed.withColumn("edges", F.filter("edges", _near([F.col(n) for n in BOX]))).repartition(F.col("x"), F.col("y")))
+    out = cells.select("z", "x", "y")
+    if whole is not None:
+        n = F.pow(F.lit(2.0), F.lit(zoom) - F.col("z")).cast("long")
+        # one row a row of tiles first, so that no cell becomes all its tiles in one go
+        rows = whole.withColumn("n", n).select("x", "n", F.explode(F.sequence(F.col("y") * F.col("n"), (F.col("y") + 1) * F.col("n") - 1)).alias("ty"))
+        full = rows.select(F.lit(zoom).alias("z"), F.explode(F.sequence(F.col("x") * F.col("n"), (F.col("x") + 1) * F.col("n") - 1)).alias("x"), F.col("ty").cast("int").alias("y")).withColumn("x", F.col("x").cast("int"))
+        out = out.unionByName(full)
+    x0, x1, y0, y1 = _range(min_x, min_y, max_x, max_y, zoom)
+    return out.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
 def closure(base: DataFrame, max_zoom: int) -> DataFrame:
@@ -109,14 +208,18 @@ def ordered(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("m", t.morton("x", "y")).repartitionByRange("m").sortWithinPartitions("m")
 
 
-def z_order_position(tiles: DataFrame, bits: int = 12) -> DataFrame:
-    """tiles with n (from 1) in z-order and total. Counts of key prefixes give each prefix its offset, so no task sorts all rows."""
-    keyed = tiles.withColumn("m", t.morton("x", "y")).withColumn("prefix", F.shiftright("m", bits))
-    counts = keyed.groupBy("prefix").agg(F.count("*").alias("c"))
-    w = Window.orderBy("prefix")  # over prefixes, of which each stands for up to 2^bits tiles
-    offsets = counts.select("prefix", (F.sum("c").over(w) - F.col("c")).alias("offset"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    inside = F.row_number().over(Window.partitionBy("prefix").orderBy("m"))
-    return keyed.withColumn("n", inside).join(offsets, "prefix").withColumn("n", F.col("n") + F.col("offset")).drop("prefix", "offset")
+def z_order_position(tiles: DataFrame) -> DataFrame:
+    """tiles with n (from 1) in z-order and total; equal keys get places in turn.
+
+    Ranges of the key are sorted inside, once, and saved; a place is the tiles of the ranges before, one row a range, and the place in its own.
+    """
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = tiles.withColumn("m", t.morton("x", "y")).repartitionByRange(parts, "m").sortWithinPartitions("m")
+    placed = saved(placed.withColumn("range", F.spark_partition_id()).withColumn("inside", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("range").agg(F.count("*").alias("c"))
+    before = (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("offset")  # over ranges
+    ranges = F.broadcast(counts.select("range", before, F.sum("c").over(Window.partitionBy()).alias("total")))
+    return placed.join(ranges, "range").withColumn("n", F.col("inside") + F.col("offset") + 1).drop("range", "inside", "offset")
 
 
 def progress(tiles: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from quadloom.sources.raster import RasterMeta
 TILE_SCHEMA = "z int, x int, y int, buf binary"
 #: Source pixels around a megatile's outline that the kernel may need.
 HALO = 4
+#: Source pixels a side that a megatile takes at most, but for the halo (four bands: 256 MB).
+MEGA_SOURCE = 1 << 13
 
 
 def _outline(meta: RasterMeta, transform: Transform, z: int, x: int, y: int, n: int = 22):
@@ -38,7 +42,36 @@ def base_tiles(cover: DataFrame, blocks: DataFrame, meta: RasterMeta, transform:
     Tiles that share an ancestor `offset` levels up are warped together. Each such megatile asks for the blocks under it, plus the
     kernel's reach, by their keys; an equi-join brings them, and one task samples, masks and slices them. Sources without alpha
     get an opaque one inside their extent. use_nodata: source pixels with a no-data value in any band become transparent.
+
+    A source that is much finer than the tiles is first warped to a deeper zoom, from which tiles are reduced: a megatile's pixels
+    are MEGA_SOURCE a side at most, whatever the scales.
     """
+    step = source_step(meta, transform, tile_size, cover)
+    deeper = max(0, math.floor(math.log2(step)) - 1) if step else 0
+    if deeper:
+        at = cover.select((F.col("z") + deeper).alias("z"), F.explode(F.sequence(F.lit(0), F.lit((1 << deeper) - 1))).alias("i"), "x", "y")
+        at = at.select("z", (F.col("x") * (1 << deeper) + F.col("i")).alias("x"), "y", F.explode(F.sequence(F.lit(0), F.lit((1 << deeper) - 1))).alias("j"))
+        at = at.select("z", "x", (F.col("y") * (1 << deeper) + F.col("j")).alias("y"))
+        fine = _warped(at, blocks, meta, transform, tile_size, min(offset, deeper), block, use_nodata)
+        reduced = subtree(fine, tile_size, (len(meta.bands) + 1) // 2 * 2, deeper)
+        return reduced.join(cover.select("z", "x", "y"), ["z", "x", "y"], "left_semi").select("z", "x", "y", "buf")
+    while offset and (tile_size << offset) * step > MEGA_SOURCE:
+        offset -= 1
+    return _warped(cover, blocks, meta, transform, tile_size, offset, block, use_nodata)
+
+
+def source_step(meta: RasterMeta, transform: Transform, tile_size: int, cover: DataFrame) -> float:
+    """Source pixels a target pixel in the middle of the cover; 0 where there is none."""
+    one = cover.agg(F.first("z").alias("z"), F.floor(F.avg("x")).cast("long").alias("x"), F.floor(F.avg("y")).cast("long").alias("y")).first()
+    if one.z is None:
+        return 0.0
+    c, r = _outline(meta, transform, one.z, one.x, one.y, 2)
+    step = max(float(np.nanmax(np.abs(np.diff(c, axis=1)))), float(np.nanmax(np.abs(np.diff(r, axis=0))))) * 2 / tile_size
+    return step if math.isfinite(step) else 0.0
+
+
+def _warped(cover: DataFrame, blocks: DataFrame, meta: RasterMeta, transform: Transform, tile_size: int, offset: int, block: int, use_nodata: bool) -> DataFrame:
+    """base_tiles() of one zoom, sampled from the source's own pixels."""
     bands = len(meta.bands)
     has_alpha = meta.bands[-1] == "alpha"
     size = tile_size << offset
@@ -64,8 +97,9 @@ def base_tiles(cover: DataFrame, blocks: DataFrame, meta: RasterMeta, transform:
         bx0, by0 = int(pdf["block_x"].min()), int(pdf["block_y"].min())
         w, h = (int(pdf["block_x"].max()) - bx0 + 1) * block, (int(pdf["block_y"].max()) - by0 + 1) * block
         src = np.zeros((min(h, meta.height - by0 * block), min(w, meta.width - bx0 * block), bands + (not has_alpha)), np.uint8)
-        for bx, by, bw, bh, buf in zip(pdf["block_x"], pdf["block_y"], pdf["w"], pdf["h"], pdf["buf"], strict=True):
-            y0, x0 = (by - by0) * block, (bx - bx0) * block
+        pdf = pdf.sort_values("ordinal", kind="stable")  # later files lie over earlier ones
+        for bx, by, ox, oy, bw, bh, buf in zip(pdf["block_x"], pdf["block_y"], pdf["px"], pdf["py"], pdf["w"], pdf["h"], pdf["buf"], strict=True):
+            y0, x0 = (by - by0) * block + oy, (bx - bx0) * block + ox
             src[y0 : y0 + bh, x0 : x0 + bw, :bands] = np.frombuffer(buf, np.uint8).reshape(bh, bw, bands)
             if not has_alpha:
                 src[y0 : y0 + bh, x0 : x0 + bw, -1] = 255
@@ -97,7 +131,7 @@ def base_tiles(cover: DataFrame, blocks: DataFrame, meta: RasterMeta, transform:
     keyed = cover.select((F.col("z") - offset).alias("az"), F.shiftright("x", offset).alias("ax"), F.shiftright("y", offset).alias("ay"), F.struct("x", "y").alias("t"))
     megas = keyed.groupBy("az", "ax", "ay").agg(F.collect_list("t").alias("tiles"))  # at most 4^offset
     asked = megas.mapInPandas(ask, "az int, ax int, ay int, tiles array<struct<x:int,y:int>>, block_x int, block_y int")
-    joined = asked.join(blocks.select("block_x", "block_y", "w", "h", "buf"), ["block_x", "block_y"])
+    joined = asked.join(blocks.select("ordinal", "block_x", "block_y", "px", "py", "w", "h", "buf"), ["block_x", "block_y"])
     return joined.groupBy("az", "ax", "ay").applyInPandas(warp, TILE_SCHEMA)
 
 

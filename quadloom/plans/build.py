@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import crs
 from quadloom.functions import tiles as t
 from quadloom.operators import keys, pyramid
+from quadloom.operators.lineage import saved
 from quadloom.sources import geojson, mbtiles, raster
 
 #: Zooms that one shuffle climbs.
@@ -37,6 +37,7 @@ class TilerOptions:
     use_nodata: bool = False
     limits_scope: str = "table"
     lonlat_bounds: bool = False
+    grid_folder: str | None = None
 
     def checked(self) -> TilerOptions:
         if self.format not in ("jpeg", "png"):
@@ -52,21 +53,12 @@ class TilerOptions:
         return out
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def cover(spark: SparkSession, options: TilerOptions, meta: raster.RasterMeta, transform: crs.Transform) -> tuple[DataFrame, tuple[float, float, float, float]]:
     """The base tiles of a source and its bounds in EPSG:3857."""
     bounds = transform.bounds(*meta.bbox)
-    base = keys.bbox_tiles(spark, *bounds, options.max_zoom)
     if options.bounding_polygon:
-        ring = [tuple(r) for r in geojson.read_polygon(spark, options.bounding_polygon).collect()]  # one polygon's edges
-        base = keys.in_polygon(base, ring, t.bounds("z", "x", "y"))
-    return base, bounds
+        return keys.polygon_tiles(spark, *bounds, options.max_zoom, geojson.read_polygon(spark, options.bounding_polygon)), bounds
+    return keys.bbox_tiles(spark, *bounds, options.max_zoom), bounds
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,6 +67,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of one small file, or None if there is none."""
+    return bytes(spark.read.format("binaryFile").load(path).first().content) if exists(spark, path) else None
+
+
 def metadata_rows(options: TilerOptions, bounds: tuple[float, float, float, float]) -> list[tuple[str, str]]:
     if options.lonlat_bounds:
         import numpy as np
@@ -97,32 +94,30 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
     if exists(spark, options.target) and not same:
         raise FileExistsError(f"{options.target} exists: continue from it or choose another")
     metas = raster.read_meta(spark, options.source)
-    if len(metas) != 1:
-        raise ValueError(f"{options.source}: {len(metas)} rasters; mosaic them first")
-    meta = metas[0]
+    meta, _ = raster.together(metas)
     srs = options.transform_pipeline or raster.resolve_srs(options.source_srs, meta)
-    transform = crs.parse(srs)
+    transform = crs.parse(srs, lambda name: read_file(spark, f"{options.grid_folder}/{name}") if options.grid_folder else None)
     bands = (len(meta.bands) + 1) // 2 * 2
     base, bounds = cover(spark, options, meta, transform)
-    base = _saved(base)
+    base = saved(base)
     work = keys.closure(base, options.max_zoom)
     stored = None
     if options.continue_from:
-        stored = _saved(spark.read.parquet(f"{options.continue_from}/tiles"))
+        stored = saved(spark.read.parquet(f"{options.continue_from}/tiles"))
         done = stored.select(F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"), t.reversed_y("zoom_level", "tile_row").alias("y"))
-        known = _saved(pyramid.decode(stored, options.tile_size, bands))
+        known = saved(pyramid.decode(stored, options.tile_size, bands))
         work = keys.todo(work, done)
-    work = _saved(work)
-    blocks = raster.read_blocks(spark, options.source)
+    work = saved(work)
+    blocks = raster.read_blocks(spark, options.source, metas=metas)
     fresh = pyramid.base_tiles(work.where(F.col("z") == options.max_zoom), blocks, meta, transform, options.tile_size, options.warp_zoom_offset, raster.BLOCK, options.use_nodata)
-    now, z = _saved(fresh), options.max_zoom
+    now, z = saved(fresh), options.max_zoom
     made = [now]
     if stored is not None:
         now = now.unionByName(known.where(F.col("z") == z))
     while z > 0:
         # a resumed parent may be stored already, so one level at a time lets stored buffers join in
         n = 1 if stored is not None else min(LEVELS, z)
-        above = _saved(pyramid.subtree(now, options.tile_size, bands, n))
+        above = saved(pyramid.subtree(now, options.tile_size, bands, n))
         z -= n
         if stored is not None:
             above = above.join(work, ["z", "x", "y"], "left_semi").select("z", "x", "y", "buf")
@@ -138,6 +133,8 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
     if options.insert_empty:
         rows = work.join(data, ["z", "x", "y"], "left").select("z", "x", "y", "buf")
     tiles = pyramid.encode(rows, options.tile_size, bands, options.format, options.jpeg_quality)
+    if options.limits_scope == "run":
+        tiles = saved(tiles)  # read twice
     if options.debug:
         full = F.length("tile_data") > 0
         step = F.when(F.col("zoom_level") == options.max_zoom, F.lit("W")).otherwise(F.lit("C"))

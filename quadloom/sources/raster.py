@@ -1,9 +1,10 @@
-"""Rasters as block tables. Files are PNG or PNM (P5, P6) with a JSON sidecar <file>.json that names the geotransform, the
-coordinate system and, if need be, band meanings and no-data values. Any file system that Spark reads will do; each file is one
-task, so a large raster is given as many files.
-"""
+"""Rasters as block tables. A raster is one file or many on one grid of pixels, in any file system that Spark reads.
 
-from __future__ import annotations
+PNG and PNM (P5, P6) files are decoded whole, one task a file, so large rasters of these formats are given as many files. RAW files
+(8 bit, bands interleaved by pixel, no header) may be of any size: they are read by ranges of pixel rows. Each file has a JSON
+sidecar <file>.json that names the geotransform, the coordinate system and, if need be, band meanings and no-data values; with width and
+height in it (RAW files need them), no pixel is read for metadata. Where files overlap, the last by path wins.
+"""
 
 import json
 import re
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 from quadloom.functions.codec import decode_png
 
 BLOCK = 256
+FILES = "png,pgm,ppm,pnm,raw"
+#: Bytes of a RAW file that a task reads, about.
+SPLIT = 1 << 27
 LAYOUTS = (("gray",), ("gray", "alpha"), ("red", "green", "blue"), ("red", "green", "blue", "alpha"))
-BLOCK_SCHEMA = "path string, block_x int, block_y int, w int, h int, bands int, buf binary"
+#: Pieces of blocks: px, py is the piece's place inside its block, ordinal the file's place by path.
+BLOCK_SCHEMA = "path string, ordinal int, block_x int, block_y int, px int, py int, w int, h int, bands int, buf binary"
 
 
 @dataclass(frozen=True)
@@ -69,14 +74,31 @@ def _size(data: bytes) -> tuple[int, int, int]:
     return a.shape[1], a.shape[0], a.shape[2]
 
 
+def _listed(spark: SparkSession, path: str, kind: str, suffix: str = ""):
+    """A reader's files at `path` (a file, folder or pattern) whose names end as rasters do, plus `suffix`."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = fs.exists(p) and fs.getFileStatus(p).isDirectory()
+    reader = spark.read.format(kind).option("pathGlobFilter", f"*.{{{FILES}}}{suffix}").option("wholetext", "true")
+    return reader.load(path if folder else path + suffix)
+
+
 def read_meta(spark: SparkSession, path: str) -> list[RasterMeta]:
-    """Metadata of the rasters at `path` (a file, folder or pattern), one entry a file; pixels stay where they are."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,pgm,ppm,pnm}").load(path)
-    sizes = files.mapInPandas(_sizes, "path string, w int, h int, n int").orderBy("path").collect()  # one row a file
+    """Metadata of the rasters at `path` (a file, folder or pattern), one entry a file, by path. One job reads all sidecars; files whose
+    sidecar has no width and height are opened for them."""
+    sides = {r.p.removesuffix(".json"): json.loads(r.value) for r in _listed(spark, path, "text", ".json").select(F.col("_metadata.file_path").alias("p"), "value").collect()}  # one row a file
+    names = sorted(r.path for r in _listed(spark, path, "binaryFile").select("path").collect())
+    clean = lambda p: re.sub(r"^file:/+", "file:/", p)
+    sides = {clean(p): v for p, v in sides.items()}
+    bare = [p for p in names if not {"width", "height"} <= sides.get(clean(p), {}).keys()]
+    sizes = {clean(r.path): (r.w, r.h, r.n) for r in spark.read.format("binaryFile").load(bare).mapInPandas(_sizes, "path string, w int, h int, n int").collect()} if bare else {}
     out = []
-    for p, w, h, n in sizes:
-        side = json.loads(spark.read.text(f"{p}.json", wholetext=True).first()[0])
-        bands = tuple(side.get("bands", {1: LAYOUTS[0], 2: LAYOUTS[1], 3: LAYOUTS[2], 4: LAYOUTS[3]}[n]))
+    for p in names:
+        side = sides.get(clean(p))
+        if side is None:
+            raise ValueError(f"{p}: no {p}.json beside it")
+        w, h, n = sizes.get(clean(p)) or (side["width"], side["height"], len(side["bands"]) if "bands" in side else side.get("band_count", 1))
+        bands = tuple(side.get("bands", {k + 1: x for k, x in enumerate(LAYOUTS)}[n]))
         check_layout(bands)
         if len(bands) != n:
             raise ValueError(f"{p}: {n} bands, but {len(bands)} are named")
@@ -90,35 +112,98 @@ def _sizes(batches):
         yield type(pdf)(rows, columns=["path", "w", "h", "n"])
 
 
-def read_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Pixels of the rasters at `path` as blocks (path, block_x, block_y, w, h, bands, buf), bands interleaved by pixel."""
+def together(metas: list[RasterMeta]) -> tuple[RasterMeta, dict[str, tuple[int, int, int]]]:
+    """The raster that files on one grid of pixels make, and for each path its ordinal, column and row there.
+
+    Files must agree on bands, coordinate system, no-data values and pixel size, and lie whole pixels apart (a 100th of one is allowed).
+    """
+    if not metas:
+        raise ValueError("no raster found")
+    first = metas[0]
+    g = first.geo_transform
+    places = []
+    for m in metas:
+        if (m.bands, m.srs, m.nodata) != (first.bands, first.srs, first.nodata):
+            raise ValueError(f"{m.path}: bands, coordinate system or no-data values differ from those of {first.path}")
+        o = m.geo_transform
+        if any(abs(o[i] - g[i]) * max(m.width, m.height) > 0.01 * max(abs(g[1]), abs(g[5])) for i in (1, 2, 4, 5)):
+            raise ValueError(f"{m.path}: pixels differ in size from those of {first.path}")
+        det = g[1] * g[5] - g[2] * g[4]
+        dx, dy = o[0] - g[0], o[3] - g[3]
+        col, row = (g[5] * dx - g[2] * dy) / det, (g[1] * dy - g[4] * dx) / det
+        if max(abs(col - round(col)), abs(row - round(row))) > 0.01:
+            raise ValueError(f"{m.path}: not on the pixel grid of {first.path}")
+        places.append((round(col), round(row)))
+    c0, r0 = min(c for c, _ in places), min(r for _, r in places)
+    width = max(c + m.width for (c, _), m in zip(places, metas, strict=True)) - c0
+    height = max(r + m.height for (_, r), m in zip(places, metas, strict=True)) - r0
+    origin = (g[0] + c0 * g[1] + r0 * g[2], g[1], g[2], g[3] + c0 * g[4] + r0 * g[5], g[4], g[5])
+    whole = RasterMeta(first.path, width, height, first.bands, origin, first.srs, first.nodata)
+    return whole, {m.path: (i, c - c0, r - r0) for i, (m, (c, r)) in enumerate(zip(metas, places, strict=True))}
+
+
+def _pieces(path: str, place: tuple[int, int, int], a: np.ndarray, top: int, block: int):
+    """Rows of BLOCK_SCHEMA: an array that lies `top` rows below its file's first one, cut along the blocks of the whole raster."""
+    ordinal, col, row = place
+    y = row + top
+    end, right = y + a.shape[0], col + a.shape[1]
+    while y < end:
+        y1, x = min(end, (y // block + 1) * block), col
+        while x < right:
+            x1 = min(right, (x // block + 1) * block)
+            part = a[y - row - top : y1 - row - top, x - col : x1 - col]
+            yield (path, ordinal, x // block, y // block, x % block, y % block, x1 - x, y1 - y, a.shape[2], part.tobytes())
+            x = x1
+        y = y1
+
+
+def _raw_rows(spark: SparkSession, meta: RasterMeta, place: tuple[int, int, int], block: int):
+    """Pieces of a RAW file. A split is a run of pixel rows, of which `block` at a time are held."""
+    n, bands, width, height = meta.width * len(meta.bands), len(meta.bands), meta.width, meta.height
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(n), "mapreduce.input.fileinputformat.split.maxsize": str(max(SPLIT, n))}
+    rows = spark.sparkContext.newAPIHadoopFile(meta.path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+
+    def cut(records):
+        held, first = [], None
+        for i, row in records:
+            if i >= height:
+                continue
+            if held and (first + len(held) != i or (place[2] + i) % block == 0):
+                yield from _pieces(meta.path, place, np.stack(held), first, block)
+                held = []
+            if not held:
+                first = i
+            held.append(np.frombuffer(bytes(row), np.uint8).reshape(width, bands))
+        if held:
+            yield from _pieces(meta.path, place, np.stack(held), first, block)
+
+    return rows.mapPartitions(cut)
+
+
+def read_blocks(spark: SparkSession, path: str, block: int = BLOCK, metas: list[RasterMeta] | None = None) -> DataFrame:
+    """Pixels of the raster at `path` as pieces of blocks (BLOCK_SCHEMA), bands interleaved by pixel. One file gives one piece a block;
+    where several share a block, each gives its own, and RAW files may give several."""
+    metas = read_meta(spark, path) if metas is None else metas
+    places = together(metas)[1]
+    clean = lambda p: re.sub(r"^file:/+", "file:/", p)
+    by_path = {clean(p): (p, v) for p, v in places.items()}
 
     def cut(batches):
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                name, place = by_path[clean(p)]
                 a = decode_file(bytes(content))
-                for y in range(0, a.shape[0], block):
-                    rows = []
-                    for x in range(0, a.shape[1], block):
-                        b = a[y : y + block, x : x + block]
-                        rows.append((p, x // block, y // block, b.shape[1], b.shape[0], a.shape[2], b.tobytes()))
-                    yield type(pdf)(rows, columns=["path", "block_x", "block_y", "w", "h", "bands", "buf"])
+                for top in range(0, a.shape[0], block):
+                    yield type(pdf)(list(_pieces(name, place, a[top : top + block], top, block)), columns=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,pgm,ppm,pnm}").load(path)
-    return files.select("path", "content").mapInPandas(cut, BLOCK_SCHEMA)
+    whole = [m.path for m in metas if not m.path.endswith(".raw")]
+    parts = [spark.read.format("binaryFile").load(whole).select("path", "content").mapInPandas(cut, BLOCK_SCHEMA)] if whole else []
+    raw = [_raw_rows(spark, m, places[m.path], block) for m in metas if m.path.endswith(".raw")]
+    if raw:
+        parts.append(spark.createDataFrame(spark.sparkContext.union(raw), BLOCK_SCHEMA))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def tile_index(meta: list[RasterMeta], spark: SparkSession) -> DataFrame:
     """Footprint of each file: path, min_x, min_y, max_x, max_y in its own coordinates."""
     return spark.createDataFrame([(m.path, *map(float, m.bbox)) for m in meta], "path string, min_x double, min_y double, max_x double, max_y double")
-
-
-def mosaic(parts: list[DataFrame]) -> DataFrame:
-    """One block table of several over the same grid; where blocks meet, the later table wins."""
-    keyed = [p.withColumn("ordinal", F.lit(i)) for i, p in enumerate(parts)]
-    whole = keyed[0]
-    for p in keyed[1:]:
-        whole = whole.unionByName(p)
-    columns = [c for c in parts[0].columns if c not in ("block_x", "block_y")]
-    best = whole.groupBy("block_x", "block_y").agg(F.max_by(F.struct(*columns), "ordinal").alias("b"))
-    return best.select("block_x", "block_y", "b.*")

@@ -138,10 +138,63 @@ def test_polygon_holes_and_containment(spark):
     assert keys.in_polygon(cells, [tuple(map(float, e)) for e in square(3.2, 3.4)], box).count() == 1
 
 
-def test_mosaic_later_wins(spark):
-    a = spark.createDataFrame([("a", 0, 0, bytearray(b"1")), ("a", 1, 0, bytearray(b"1"))], "path string, block_x int, block_y int, buf binary")
-    b = spark.createDataFrame([("b", 1, 0, bytearray(b"2"))], a.schema)
-    assert {(r.block_x, bytes(r.buf)) for r in raster.mosaic([a, b]).collect()} == {(0, b"1"), (1, b"2")}
+def sidecar(folder, name, gt, **side):
+    (folder / f"{name}.json").write_text(json.dumps({"geo_transform": gt, "srs": "EPSG:3857"} | side))
+
+
+def test_many_files_equal_one(spark, tmp_path):
+    """Four PNG files and one RAW file of the same pixels, cut off the block grid, give the tiles of one file."""
+    px = gradient(70, 90, 3)
+    step = 2 * HALF / (1 << Z) / TS
+    one = build_tiles(spark, options(tmp_path, write_raster(tmp_path / "one", px)))["tiles"]
+    many, raw = tmp_path / "many", tmp_path / "raw"
+    many.mkdir()
+    raw.mkdir()
+    gt = lambda c, r: [(12 * TS + c) * step - HALF, step, 0.0, HALF - (9 * TS + r) * step, 0.0, -step]
+    for k, (c0, c1, r0, r1) in enumerate([(0, 33, 0, 41), (33, 90, 0, 41), (0, 33, 41, 70), (33, 90, 41, 70)]):
+        (many / f"{k}.png").write_bytes(codec.encode_png(px[r0:r1, c0:c1]))
+        sidecar(many, f"{k}.png", gt(c0, r0))
+    (raw / "a.raw").write_bytes(px.tobytes())
+    sidecar(raw, "a.raw", gt(0, 0), width=90, height=70, bands=["red", "green", "blue"])
+    want = sorted((r.zoom_level, r.tile_column, r.tile_row, bytes(r.tile_data)) for r in one.collect())
+    for k, folder in enumerate((many, raw)):
+        got = build_tiles(spark, TilerOptions(str(folder), str(tmp_path / f"t{k}"), Z, tile_size=TS, format="png", warp_zoom_offset=2))["tiles"]
+        assert sorted((r.zoom_level, r.tile_column, r.tile_row, bytes(r.tile_data)) for r in got.collect()) == want
+
+
+def test_blocks_of_a_mosaic(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    for k, (c, r, v) in enumerate([(0, 0, 1), (6, 3, 2)]):
+        (folder / f"{k}.png").write_bytes(codec.encode_png(np.full((8, 10, 1), v, np.uint8)))
+        sidecar(folder, f"{k}.png", [100.0 + c, 1.0, 0.0, 50.0 - r, 0.0, -1.0])
+    metas = raster.read_meta(spark, str(folder))
+    whole, places = raster.together(metas)
+    assert (whole.width, whole.height, whole.bbox) == (16, 11, (100.0, 39.0, 116.0, 50.0)) and sorted(places.values()) == [(0, 0, 0), (1, 6, 3)]
+    want = np.zeros((11, 16), np.uint8)
+    want[:8, :10], want[3:, 6:] = 1, 2
+    got = np.zeros((11, 16), np.uint8)
+    for b in sorted(raster.read_blocks(spark, str(folder), 4, metas).collect(), key=lambda b: b.ordinal):
+        assert b.px + b.w <= 4 and b.py + b.h <= 4
+        y, x = b.block_y * 4 + b.py, b.block_x * 4 + b.px
+        got[y : y + b.h, x : x + b.w] = np.frombuffer(bytes(b.buf), np.uint8).reshape(b.h, b.w)
+    assert (got == want).all()
+    assert {(r.min_x, r.max_y) for r in raster.tile_index(metas, spark).collect()} == {(100.0, 50.0), (106.0, 47.0)}
+    sidecar(folder, "1.png", [100.5, 1.0, 0.0, 50.0, 0.0, -1.0])
+    with pytest.raises(ValueError, match="grid"):
+        raster.together(raster.read_meta(spark, str(folder)))
+
+
+def test_fine_sources_are_reduced_from_a_deeper_zoom(spark, tmp_path):
+    px = np.full((256, 256, 3), 120, np.uint8)
+    px[:, 128:] = 40
+    step = 2 * HALF / (1 << Z) / (TS * 16)  # sixteen source pixels a target pixel
+    folder = tmp_path / "fine"
+    folder.mkdir()
+    (folder / "r.png").write_bytes(codec.encode_png(px))
+    sidecar(folder, "r.png", [12 * 2 * HALF / (1 << Z) - HALF, step, 0.0, HALF - 9 * 2 * HALF / (1 << Z), 0.0, -step])
+    got = pixels(build_tiles(spark, options(tmp_path, str(folder)))["tiles"], Z, 12, 9)
+    assert got.shape == (16, 16, 4) and (got[:, :6, 0] == 120).all() and (got[:, 10:, 0] == 40).all() and (got[:, :, 3] == 255).all()
 
 
 def fold(rows, period=stats.PERIOD_MS):

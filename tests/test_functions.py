@@ -67,12 +67,12 @@ def test_lanczos_keeps_constants():
     assert (px[0, :2] == 50).all() and inside.tolist() == [[True, True, False]]
 
 
-PIPELINES = ("EPSG:3857", "EPSG:4326", "+proj=pipeline +step +inv +proj=krovak +step +proj=push +v_3 +step +proj=cart +ellps=bessel +step +proj=helmert +x=485.0 +y=169.5 +z=483.8 +rx=7.786 +ry=4.398 +rz=4.103 +s=0 +step +inv +proj=cart +ellps=WGS84 +step +proj=pop +v_3 +step +proj=webmerc")
+PIPELINES = ("EPSG:5514 krovak", "EPSG:8353 krovak", "EPSG:3857", "EPSG:4326", "+proj=pipeline +step +inv +proj=krovak +step +proj=push +v_3 +step +proj=cart +ellps=bessel +step +proj=helmert +x=485.0 +y=169.5 +z=483.8 +rx=7.786 +ry=4.398 +rz=4.103 +s=0 +step +inv +proj=cart +ellps=WGS84 +step +proj=pop +v_3 +step +proj=webmerc")
 
 
 @pytest.mark.parametrize("text", PIPELINES)
 def test_transforms_invert(text):
-    tr = crs.parse(text)
+    tr = crs.parse(text.removesuffix(" krovak"))
     x = np.array([-500000.0, -300000.0]) if "krovak" in text else np.array([17.1, 18.9])
     y = np.array([-1200000.0, -1250000.0]) if "krovak" in text else np.array([48.2, 49.5])
     a, b = tr.inverse(*tr.forward(x, y))
@@ -87,9 +87,47 @@ def test_krovak_lies_in_central_europe():
 
 
 def test_unsupported_steps_are_named():
-    with pytest.raises(ValueError, match="hgridshift.*grid"):
+    with pytest.raises(ValueError, match="hgridshift.*x.gsb"):
         crs.parse("+proj=pipeline +step +proj=hgridshift +grids=x.gsb")
-    with pytest.raises(ValueError):
-        crs.parse("EPSG:8353")
+    with pytest.raises(ValueError, match="vgridshift"):
+        crs.parse("+proj=pipeline +step +proj=vgridshift +grids=x.gtx")
+    with pytest.raises(ValueError, match="EPSG:8353"):
+        crs.parse("EPSG:32633")
     with pytest.raises(ValueError):
         t.mega_size(256, 8)
+
+
+def gsb(south, north, east, west, step, shifts, order="<"):
+    """An NTv2 file of one grid; degrees, west positive; shifts(lat, lon west) in arc seconds."""
+    import struct
+
+    def record(name, kind, v):
+        return name.encode().ljust(8) + (struct.pack(order + kind, v).ljust(8, b"\0") if kind != "s" else v.encode().ljust(8))
+
+    rows, columns = round((north - south) / step) + 1, round((west - east) / step) + 1
+    head = [("NUM_OREC", "i", 11), ("NUM_SREC", "i", 11), ("NUM_FILE", "i", 1), ("GS_TYPE", "s", "SECONDS"), ("VERSION", "s", "TEST"), ("SYSTEM_F", "s", "A"), ("SYSTEM_T", "s", "B"), *((x, "d", 1.0) for x in ("MAJOR_F", "MINOR_F", "MAJOR_T", "MINOR_T"))]
+    sub = [("SUB_NAME", "s", "G"), ("PARENT", "s", "NONE"), ("CREATED", "s", ""), ("UPDATED", "s", ""), *((n, "d", v * 3600) for n, v in (("S_LAT", south), ("N_LAT", north), ("E_LONG", east), ("W_LONG", west), ("LAT_INC", step), ("LONG_INC", step))), ("GS_COUNT", "i", rows * columns)]
+    nodes = b"".join(struct.pack(order + "4f", *shifts(south + r * step, east + c * step), 0, 0) for r in range(rows) for c in range(columns))
+    return b"".join(record(*x) for x in head + sub) + nodes
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_grid_shift(order):
+    data = gsb(48, 50, -19, -17, 0.5, lambda lat, lon: ((lat - 48) * 3, (lon + 19) * 2 + (lat - 48)), order)
+    tr = crs.parse("+proj=pipeline +step +proj=unitconvert +xy_in=deg +xy_out=rad +step +proj=hgridshift +grids=g.gsb,@none.gsb +step +proj=unitconvert +xy_in=rad +xy_out=deg", {"g.gsb": data}.get)
+    lon, lat = np.array([18.3, 17.2, 18.99, 25.0]), np.array([48.7, 48.1, 49.9, 49.0])
+    x, y = tr.forward(lon, lat)
+    # linear shifts are reproduced by bilinear interpolation; longitudes of the grid are west positive
+    assert np.allclose(y[:3], lat[:3] + (lat[:3] - 48) * 3 / 3600, atol=1e-9)
+    assert np.allclose(x[:3], lon[:3] - ((-lon[:3] + 19) * 2 + (lat[:3] - 48)) / 3600, atol=1e-9)
+    assert np.isinf(x[3])
+    a, b = tr.inverse(x[:3], y[:3])
+    assert np.allclose(a, lon[:3], atol=1e-9) and np.allclose(b, lat[:3], atol=1e-9)
+
+
+def test_codes_of_krovak_systems_agree_within_their_accuracy():
+    x, y = np.array([-450000.0, -500000.0]), np.array([-1200000.0, -1250000.0])
+    a, b = (np.array(crs.parse(c).forward(x, y)) for c in ("EPSG:5514", "EPSG:8353"))
+    assert 0 < np.abs(a - b).max() < 12  # Mercator metres; both realisations lie some metres apart
+    lon, lat = crs.parse("EPSG:4326").inverse(*a)
+    assert ((lon > 17) & (lon < 19) & (lat > 48) & (lat < 50)).all()
