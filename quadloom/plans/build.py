@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quadloom.functions import tiles as t
 from quadloom.operators import keys, pyramid
 from quadloom.operators.lineage import saved
 from quadloom.sources import geojson, mbtiles, raster
+from quadloom.streaming import stats
 
 #: Zooms that one shuffle climbs.
 LEVELS = 4
@@ -78,13 +80,27 @@ def metadata_rows(options: TilerOptions, bounds: tuple[float, float, float, floa
 
         x, y = crs.parse("EPSG:4326").inverse(np.array([bounds[0], bounds[2]]), np.array([bounds[1], bounds[3]]))
         bounds = (float(x[0]), float(y[0]), float(x[1]), float(y[1]))
-    return [("name", "Tiles"), ("format", options.format), ("minzoom", "0"), ("maxzoom", str(options.max_zoom)), ("bounds", ",".join(f"{v:g}" if v == int(v) else repr(v) for v in bounds))]
+    return [("name", "Tiles"), ("format", options.format), ("minzoom", "0"), ("maxzoom", str(options.max_zoom)), ("bounds", ",".join(str(int(v)) if v == int(v) else repr(v) for v in bounds))]
+
+
+class Timers:
+    """A build's event log: one row a step, appended as the step ends, so that a stream can follow it."""
+
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.path, self.at = spark, f"{target}/events", time.time()
+
+    def took(self, metric: str, pct: float = 0.0, left: int = 0) -> None:
+        now = time.time()
+        row = (int(now * 1000), metric, int((now - self.at) * 1000), float(pct), left)
+        self.spark.createDataFrame([row], stats.EVENTS).coalesce(1).write.mode("append").parquet(self.path)
+        self.at = time.time()
 
 
 def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFrame]:
     """Builds the pyramid and writes <target>/tiles (partitioned by zoom_level) and <target>/metadata as Parquet.
 
-    Returns tiles, metadata and limits, read back from there. Tiles: zoom_level, tile_column, tile_row, tile_data, tile_alpha, and
+    <target>/events gets a row for each step as it ends, which stats.console() can follow. Returns tiles, metadata and limits, read
+    back from there. Tiles: zoom_level, tile_column, tile_row, tile_data, tile_alpha, and
     steps if debug. An existing target is an error unless continue_from names a target of an earlier run, which may be the same:
     tiles stored there are not made again but decoded where a parent needs them, and their rows are taken over. Every covered
     tile without data gets a marker row of no bytes if insert_empty, at all zooms.
@@ -101,17 +117,21 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
     base, bounds = cover(spark, options, meta, transform)
     base = saved(base)
     work = keys.closure(base, options.max_zoom)
-    stored = None
+    stored, timers = None, Timers(spark, options.target)
     if options.continue_from:
         stored = saved(spark.read.parquet(f"{options.continue_from}/tiles"))
         done = stored.select(F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"), t.reversed_y("zoom_level", "tile_row").alias("y"))
         known = saved(pyramid.decode(stored, options.tile_size, bands))
         work = keys.todo(work, done)
     work = saved(work)
+    by_zoom = {r.z: r.n for r in work.groupBy("z").agg(F.count("*").alias("n")).collect()}  # one row a zoom
+    share = lambda z: 100 * sum(n for k, n in by_zoom.items() if k >= z) / max(1, sum(by_zoom.values()))
+    timers.took("select", 0.0, options.max_zoom + 1)
     blocks = raster.read_blocks(spark, options.source, metas=metas)
     fresh = pyramid.base_tiles(work.where(F.col("z") == options.max_zoom), blocks, meta, transform, options.tile_size, options.warp_zoom_offset, raster.BLOCK, options.use_nodata)
     now, z = saved(fresh), options.max_zoom
     made = [now]
+    timers.took("warp", share(z), z)
     if stored is not None:
         now = now.unionByName(known.where(F.col("z") == z))
     while z > 0:
@@ -119,6 +139,7 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
         n = 1 if stored is not None else min(LEVELS, z)
         above = saved(pyramid.subtree(now, options.tile_size, bands, n))
         z -= n
+        timers.took("compose", share(z), z)
         if stored is not None:
             above = above.join(work, ["z", "x", "y"], "left_semi").select("z", "x", "y", "buf")
             made.append(above)
@@ -142,6 +163,7 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
     tiles.write.mode("append" if same else "errorifexists").partitionBy("zoom_level").parquet(f"{options.target}/tiles")
     if stored is not None and not same:
         stored.select([c for c in tiles.columns if c in stored.columns]).write.mode("append").partitionBy("zoom_level").parquet(f"{options.target}/tiles")
+    timers.took("encode", 100.0)  # and the insertion, which is the same job
     table = spark.read.parquet(f"{options.target}/tiles")
     scope = table if options.limits_scope == "table" else tiles
     limits = keys.limits(scope.where(F.length("tile_data") > 0).select(F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"), t.reversed_y("zoom_level", "tile_row").alias("y")))

@@ -9,6 +9,7 @@ from quadloom.functions import crs
 from quadloom.functions import tiles as t
 from quadloom.functions.resample import HALF_UP, taps
 from quadloom.operators import keys, pixels, pyramid
+from quadloom.plans import build, build_queries
 from quadloom.plans import fixtures as fx
 from quadloom.streaming import stats
 
@@ -227,10 +228,8 @@ SELECT 'name' AS name, 'Tiles' AS value UNION ALL SELECT 'format', 'jpeg' UNION
 SELECT 'bounds', concat_ws(',', {_METRES(f'x0 * {_SIDE12} - {t.HALF!r}')}, {_METRES(f'{t.HALF!r} - (y1 + 1) * {_SIDE12}')}, {_METRES(f'(x1 + 1) * {_SIDE12} - {t.HALF!r}')}, {_METRES(f'{t.HALF!r} - y0 * {_SIDE12}')}) FROM b""")
 def q23_metadata_rows(spark, sf_dir):
     b = t.bounds("z", "x", "y")
-    whole = fx.coverage(spark, sf_dir).agg(*((F.min if k.startswith("min") else F.max)(v).alias(k) for k, v in b.items()))
-    text = F.concat_ws(",", *(F.floor(k).cast("string") for k in b))
-    pairs = [("name", F.lit("Tiles")), ("format", F.lit("jpeg")), ("minzoom", F.lit("0")), ("maxzoom", F.lit(str(Z))), ("bounds", text)]
-    return whole.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs))).alias("r")).select("r.*")
+    whole = fx.coverage(spark, sf_dir).agg(*(F.floor((F.min if k.startswith("min") else F.max)(v)) for k, v in b.items())).first()
+    return spark.createDataFrame(build.metadata_rows(build.TilerOptions("", "", Z), tuple(whole)), "name string, value string")
 
 
 @query(f"""WITH {RASTER}, {TILES} SELECT CAST({RZ} AS INT) AS zoom_level, tx AS tile_column, CAST((1 << {RZ}) - 1 - ty AS INT) AS tile_row,
@@ -282,4 +281,12 @@ def q29_total_work(spark, sf_dir):
 @query(f"WITH {STATS} SELECT metric, arg_max(d, t * 1000000 + d) AS last_d FROM stats GROUP BY metric")
 def q30_last_gauge(spark, sf_dir):
     rows = fx.statistics(spark, sf_dir)
-    return rows.groupBy("metric").agg(F.max_by("d", F.col("t") * 1000000 + F.col("d")).alias("last_d"))
+    return stats.gauges(rows, {"last_d": "d"}, F.col("t") * 1000000 + F.col("d"), "metric")
+
+
+_MEETS = f"bool_or(least(x1, x2) <= x + 1 AND greatest(x1, x2) >= x AND least(y1, y2) <= y + 1 AND greatest(y1, y2) >= y AND least({', '.join(_CROSS)}) <= 0 AND greatest({', '.join(_CROSS)}) >= 0)"
+_DESCENT = f"""WITH edges(x1, y1, x2, y2) AS (VALUES {', '.join('(' + ', '.join(f'CAST({v} AS DOUBLE)' for v in e) + ')' for e in _EDGES)}),
+box AS (SELECT CAST({Z} AS INT) AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(generate_series(2200, 2399)) AS x), (SELECT unnest(generate_series(1400, 1499)) AS y)),
+hits AS (SELECT z, x, y, {_MEETS} AS touches, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) AS crossings FROM box, edges GROUP BY z, x, y)
+SELECT z, x, y FROM hits WHERE touches OR crossings % 2 = 1"""
+build_queries.register(query, RASTER, SQL["q22_lanczos_tile_local"], STATS, COVER, _DESCENT)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 COLUMNS = ("zoom_level", "tile_column", "tile_row", "tile_data", "tile_alpha")
 SCHEMA = "zoom_level int, tile_column int, tile_row int, tile_data binary, tile_alpha binary"
@@ -39,20 +39,13 @@ class Stripe(InputPartition):
 
 
 class MBTilesReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.zoom = path, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("zoom_level",):
-                self.zoom = f.value
-            else:
-                yield f
+    def __init__(self, path: str, zooms: set[int] | None):
+        self.path, self.zooms = path, zooms
 
     def partitions(self):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             ranges = con.execute("SELECT zoom_level, min(tile_column), max(tile_column) FROM tiles GROUP BY zoom_level").fetchall()
-        return [Stripe(z, c, min(c + STRIPE, b + 1)) for z, a, b in ranges if self.zoom in (None, z) for c in range(a, b + 1, STRIPE)]
+        return [Stripe(z, c, min(c + STRIPE, b + 1)) for z, a, b in ranges if self.zooms is None or z in self.zooms for c in range(a, b + 1, STRIPE)]
 
     def read(self, partition) -> Iterator[tuple]:
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
@@ -61,7 +54,11 @@ class MBTilesReader(DataSourceReader):
 
 
 class MBTilesSource(DataSource):
-    """spark.read.format("mbtiles").load(path): the tiles, alpha null where the file has none. Filters on zoom are pushed down."""
+    """spark.read.format("mbtiles").option("zooms", "5,6").load(path): the tiles, alpha null where the file has none, all zooms by default.
+
+    Zooms are an option, as filters that are pushed into a Python reader belong to the relation: two scans of one frame with different
+    filters in one plan would both get the last one's.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -71,13 +68,15 @@ class MBTilesSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return MBTilesReader(self.options["path"])
+        zooms = self.options.get("zooms")
+        return MBTilesReader(self.options["path"], None if zooms is None else {int(z) for z in zooms.split(",") if z})
 
 
-def read_mbtiles(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader refuses to run without it
+def read_mbtiles(spark: SparkSession, path: str, zooms: list[int] | None = None) -> DataFrame:
+    """The tiles of a file; only those of `zooms` are read, if they are given."""
     spark.dataSource.register(MBTilesSource)
-    return spark.read.format("mbtiles").load(path)
+    reader = spark.read.format("mbtiles")
+    return (reader if zooms is None else reader.option("zooms", ",".join(map(str, zooms)))).load(path)
 
 
 def read_metadata(path: str) -> dict[str, str]:
@@ -97,6 +96,7 @@ def export(tiles: DataFrame, metadata: DataFrame, path: str, alpha: bool, base:
         temporary = f"{path}.{uuid.uuid4().hex}"
         con = sqlite3.connect(temporary)
         con.execute("PRAGMA synchronous=OFF")
+        con.execute("PRAGMA journal_mode=WAL")
         create_schema(con, alpha)
         if base:
             con.execute("ATTACH ? AS base", (base,))
@@ -110,6 +110,7 @@ def export(tiles: DataFrame, metadata: DataFrame, path: str, alpha: bool, base:
             con.executemany("INSERT OR REPLACE INTO metadata VALUES (?, ?)", pdf.loc[pdf["part"] == 0, ["name", "value"]].values.tolist())
             n += len(own)
         con.commit()
+        con.execute("PRAGMA journal_mode=DELETE")  # one file again, which may be read where nothing can be written
         con.close()
         os.replace(temporary, path)
         yield type(pdf)({"n": [n]}) if n or base else type(pdf)({"n": [0]})

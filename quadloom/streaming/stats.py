@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from quadloom.functions.tiles import mean_duration
 
 #: A window closes at the first event this long after it opened.
 PERIOD_MS = 11_000
 METRICS = ("select", "insert", "encode", "warp", "compose")
+#: A build's event log: milliseconds since 1970, step, milliseconds it took, share of the tiles that are done, zooms to go.
+EVENTS = "t long, metric string, d long, pct double, left int"
 
 
 def by_metric(events: DataFrame) -> DataFrame:
@@ -23,9 +26,15 @@ def total_without(events: DataFrame, metric: str) -> DataFrame:
     return events.agg(F.coalesce(F.sum(F.when(F.col("metric") != metric, F.col("d"))), F.lit(0)).alias("total"))
 
 
-def gauges(events: DataFrame, value: str, at: str = "t") -> DataFrame:
-    """One row: the last value of a gauge by arrival."""
-    return events.agg(F.max_by(value, at).alias(value))
+def gauges(events: DataFrame, values: dict[str, str], at: str | Column = "t", *by: str) -> DataFrame:
+    """The last value of each gauge (name: column) by arrival; one row, or one for each `by`."""
+    return events.groupBy(*by).agg(*(F.max_by(v, at).alias(k) for k, v in values.items()))
+
+
+def console(spark: SparkSession, target: str, period: int = PERIOD_MS) -> StreamingQuery:
+    """Prints the closed windows of a build's event log (`<target>/events`) as they come; it may start before the build does."""
+    events = spark.readStream.schema(EVENTS).parquet(f"{target}/events")
+    return throttled_stream(events, "metric", period).writeStream.format("console").outputMode("append").option("truncate", "false").start()
 
 
 def triggers(events: DataFrame, period: int = PERIOD_MS) -> DataFrame:
