@@ -20,7 +20,7 @@ LEAST_BLOCK = 3
 #: A signature has at most so many characters; the last one covers all the rest of the text.
 LENGTH = 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Signatures at the doubled block size count from so many characters on.
+#: Signatures at the doubled block size count from so many characters on: a few characters agree by chance.
 LEAST_SECOND = 7
 
 
@@ -75,7 +75,8 @@ def fingerprints(raws: list[bytes]) -> list[str]:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints: 1 - edit distance / longer length of the signatures at a block size that both have, else 0."""
+    """0 to 1 for two fingerprints: 1 - edit distance / longer length of the signatures at a block size that both have, else 0. Signatures
+    at a doubled block size count only if both have LEAST_SECOND characters. Equal fingerprints give 1, null ones null."""
 
     def same(x, y):
         longest = F.greatest(F.length(x), F.length(y))
@@ -83,12 +84,12 @@ def likeness(a: Column, b: Column) -> Column:
 
     p, q = F.split(a, ":"), F.split(b, ":")
     (n, x1, x2), (m, y1, y2) = ([z[0].cast("long"), z[1], z[2]] for z in (p, q))
-    second = F.least(F.length(x2), F.length(y2)) >= LEAST_SECOND
+    long = lambda x, y: F.least(F.length(x), F.length(y)) >= LEAST_SECOND
     return (
         F.when(a == b, 1.0)
-        .when(n == m, F.when(second, F.greatest(same(x1, y1), same(x2, y2))).otherwise(same(x1, y1)))
-        .when(n == 2 * m, same(x1, y2))
-        .when(m == 2 * n, same(x2, y1))
+        .when(n == m, F.when(long(x2, y2), F.greatest(same(x1, y1), same(x2, y2))).otherwise(same(x1, y1)))
+        .when((n == 2 * m) & long(x1, y2), same(x1, y2))
+        .when((m == 2 * n) & long(x2, y1), same(x2, y1))
         .otherwise(0.0)
     )
 
@@ -130,7 +131,7 @@ def _pairs(ids, texts, prints, nexts, next_prints):
 def edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint of each row and its edited text.
 
-    The next document is the next row in descending doc_id (null last; equal ids by text), after the last the first; a lone row
+    The next document is the next row in descending doc_id (null last; equal ids by a hash of the text), after the last the first; a lone row
     is its own next. Null texts are empty. Rows are dealt by ranges of doc_id and walked in order, so every text moves once. Only
     the first and last row of each range meet in a second step; there are two of these a partition, however many rows there are.
     """
@@ -173,9 +174,9 @@ def edits(docs: DataFrame) -> DataFrame:
             types = {"doc_id": batch.schema.field("doc_id").type, "n_chars": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.string())) for k, v in rows.items()], names)
 
-    order = F.col("doc_id").desc_nulls_last()
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # rows of one id are dealt by text
     spark = docs.sparkSession
-    walked = saved(small_batches(docs).select("doc_id", text_of(docs).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text").mapInArrow(walk, T.StructType([*fields, *more])))
+    walked = saved(small_batches(docs).select("doc_id", text_of(docs).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "text").mapInArrow(walk, T.StructType([*fields, *more])))
     parts = sorted(r[0] for r in walked.where("kind = 'first'").select("part").collect())  # one number a partition
     if not parts:
         return walked.select(names)

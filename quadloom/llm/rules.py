@@ -18,37 +18,41 @@ from quadloom.llm.common import SPACE, let, table, text_of
 BUCKETS = 1 << 14
 #: Mean thousandths of a nat a gram that a document must reach to be kept.
 THRESHOLD = -100
-#: Up to so many trusted ids are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 21
+#: Up to so many trusted ids are broadcast (a few MB, whatever the corpus); more are joined by a shuffle, with the same result.
+BROADCAST_IDS = 1 << 18
 MIN_WORDS, WINDOW = 50, 3
 SYMBOLS = "#*$%&|<>"
 
 
 def _words(docs: DataFrame, *more: Column) -> DataFrame:
-    """text, words, and h (a hash of each word), beside `more`. Expressions below bind h once a row before they go over it, so that
-    filters the optimizer pushes down cannot make it part of their loops."""
+    """text, words, h (a hash of each word) and pairs (a hash of each word and the next one, or the end), beside `more`."""
     text = text_of(docs)
     split = docs.select(*more, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
-    return split.select("*", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = split.select("*", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.select("*", let(F.col("h"), _next).alias("pairs"))
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _next(h: Column) -> Column:
+    """A hash of each element and the one after it."""
+    return F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda x, y: F.xxhash64(x, F.coalesce(y, F.lit(0).cast("long"))))
 
 
-def _pair(h: Column, x: Column, i: Column) -> Column:
-    """A hash of word i, hashed to x, and the next one, or of the last word and the end."""
-    return F.xxhash64(x, F.coalesce(F.get(h, i + 1), F.lit(0).cast("long")))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """bucket, target, raw: grams of the trusted documents (column doc_id) and of all, by bucket; at most BUCKETS rows."""
+    """bucket, target, raw: grams of the trusted documents (column doc_id) and of all, by bucket; at most BUCKETS rows.
+
+    Null and empty texts have no grams; rows of docs that repeat count again, trusted ids that repeat do not; null ids are trusted by
+    nobody.
+    """
     ids = trusted.select(F.col("doc_id").alias("__ql_id")).where("__ql_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__ql_id"), "left")
-    grams = let(F.col("h"), lambda h: F.flatten(F.transform(h, lambda x, i: F.array(_bucket(x), _bucket(_pair(h, x, i))))))
-    rows = _words(marked, F.col("__ql_id").isNotNull().alias("target")).select("target", F.explode(grams).alias("bucket"))
+    grams = _words(marked, F.col("__ql_id").isNotNull().alias("target")).select("target", F.explode(F.concat("h", "pairs")).alias("gram"))
+    rows = grams.select("target", _bucket(F.col("gram")).alias("bucket"))
     return rows.groupBy("bucket", "target").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"), F.sum("n").alias("raw"))
 
 
@@ -64,9 +68,11 @@ def weights(table_of_counts: DataFrame) -> list[int]:
 
 
 def _repeated_words() -> Column:
-    """Words in WINDOW-word windows that occur twice or more in the text (columns words, h)."""
-    def windows(h):
-        return F.transform(F.slice(h, 1, F.size(h) - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
+    """Words in WINDOW-word windows that occur twice or more in the text (columns h, pairs). A window is named by the pairs in it."""
+    def windows(p):
+        for _ in range(WINDOW - 2):
+            p = let(p, _next)
+        return let(p, lambda w: F.slice(w, 1, F.size(w) - (WINDOW - 1)))
 
     def covered(t):
         placed = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -75,10 +81,8 @@ def _repeated_words() -> Column:
         steps = let(starts, lambda p: F.transform(p, lambda e, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), e - F.get(p, k - 1)))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    def full(h):
-        return let(windows(h), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(covered(t)))
-
-    return let(F.col("h"), lambda h: F.when(F.size(h) > WINDOW, full(h)).otherwise(0))
+    full = let(windows(F.col("pairs")), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(covered(t)))
+    return F.when(F.size("h") > WINDOW, full).otherwise(0)
 
 
 def rules(docs: DataFrame, bucket_weights: list[int], threshold: int = THRESHOLD) -> DataFrame:
@@ -87,7 +91,7 @@ def rules(docs: DataFrame, bucket_weights: list[int], threshold: int = THRESHOLD
     words = _words(docs, F.col("doc_id"))
     table_ = F.split(F.lit(",".join(map(str, bucket_weights))), ",").cast("array<int>")  # folded to one literal
     of = lambda b: F.get(table_, b)
-    total = let(F.col("h"), lambda h: F.aggregate(F.transform(h, lambda x, i: of(_bucket(x)) + of(_bucket(_pair(h, x, i)))), F.lit(0).cast("long"), lambda a, b: a + b))
+    total = F.aggregate(F.zip_with("h", "pairs", lambda x, y: of(_bucket(x)) + of(_bucket(y))), F.lit(0).cast("long"), lambda a, b: a + b)
     worded = let(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\f\r"), x)) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     out = words.select(
         "doc_id",

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quadloom.llm import bpe, ctph, graph, html, lines, mixing, pii, quality, rules, simhash, token_counts
@@ -185,7 +186,7 @@ def test_ctph(spark, odd, none, corpus):
     assert ctph.fingerprints(raws) == [slow_fingerprint(r) for r in raws]
     for df in (corpus, odd):
         got = [tuple(r) for r in ctph.edits(df).collect()]
-        order = sorted(((i, t or "") for i, t in texts_of(df)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+        order = sorted(((i, t or "") for i, t in texts_of(df)), key=lambda x: (x[0] is None, -(x[0] or 0), np.uint64(xxhash.xxh64_intdigest(x[1].encode(), 42)).astype(np.int64)))
         want = []
         for k, (i, t) in enumerate(order):
             e = ctph.edited(t, order[(k + 1) % len(order)][1]).encode()
@@ -197,7 +198,7 @@ def test_ctph(spark, odd, none, corpus):
 
 
 def test_ctph_likeness(spark):
-    rows = [("3:ABC:AB", "3:ABC:AB", 1.0), ("3:ABCD:AB", "3:ABXD:AB", 0.75), ("6:ABCD:QQ", "3:ZZZZ:ABCD", 1.0), ("12:ABCD:QQ", "3:ZZZZ:ABCD", 0.0), ("3::", "3::", 1.0), ("3:ABCDEFGH:ABCDEFG", "3:QRSTUVWX:ABCDEFG", 1.0)]
+    rows = [("3:ABC:AB", "3:ABC:AB", 1.0), ("3:ABCD:AB", "3:ABXD:AB", 0.75), ("6:ABCDEFGH:QQ", "3:ZZZZ:ABCDEFGH", 1.0), ("3:ZZZZ:ABCDEFGX", "6:ABCDEFGH:QQ", 0.875), ("6:A:A", "3:ZZZZ:A", 0.0), ("12:ABCDEFGH:QQ", "3:ZZZZ:ABCDEFGH", 0.0), ("3::", "3::", 1.0), ("3:ABCDEFGH:ABCDEFG", "3:QRSTUVWX:ABCDEFG", 1.0)]
     df = spark.createDataFrame(rows, "a string, b string, want double")
     assert all(r[0] == r[1] for r in df.select(ctph.likeness(F.col("a"), F.col("b")), "want").collect())
     got = spark.read.parquet(f"{SF}/documents.parquet")
