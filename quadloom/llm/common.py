@@ -40,8 +40,11 @@ BATCH = "4m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to BATCH."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    """df, with the session's Arrow batches held to BATCH, as Spark reads the setting when a frame runs, not when it is made. A caller's
+    own setting, if there is one, stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, BATCH)
     return df
 
 

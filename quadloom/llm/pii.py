@@ -26,13 +26,14 @@ BASE = {
     "card": (r"[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Generators: kind of the spans, a quick test, the pattern.
+#: Generators: kind of the spans, a quick test, the pattern. None bounds the length of a name or token; a run of characters is tried
+#: from its start only, so long ones take time in proportion.
 GENERATORS = (
     ("email", r"@|[(\[]at[)\]]", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+"),
     ("phone", r"[0-9]", r"\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+"),
     ("card", r"[0-9]", r"(?<![0-9])[0-9](?:[.\-]?[0-9]){11,}+"),
-    ("secret", r"[=:]", r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{1,19}+\x20?[=:]\x20?[^\x20\x09-\x0D]{6,}+"),
-    ("secret", r"[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{16,}+"),
+    ("secret", r"[=:]", r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]++\x20?[=:]\x20?[^\x20\x09-\x0D]{6,}+"),
+    ("secret", r"[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"),
 )
 CONTEXTS = (r"(?i)(?:tel|phone|call|mobil|fax|fon)", r"(?i)(?:mail|contact|write to)", r"(?i)(?:card|visa|iban|account|konto)", r"(?i)(?:password|passwd|pwd|secret|token|key|auth)", r"(?i)(?:version|isbn|order|invoice|number|no\.|id)")
 #: Characters before a span that features look at.

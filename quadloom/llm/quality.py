@@ -192,14 +192,19 @@ def score(vectors: DataFrame, model: Model | None) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; repeated rows repeat, rows with a null id are scored as well."""
+    """doc_id, held_out, score, predicted for every row of docs; repeated rows repeat, rows with a null id are scored as well. Null texts
+    are empty. A document with several label rows counts once for each of them."""
     vectors = saved(features(docs))
     scored = score(vectors, train(vectors, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted 1, columns as they are. Texts are scored where they lie, so none is shuffled."""
+    """The rows of docs that are predicted 1, columns as they are. Texts are scored where they lie, so none is shuffled.
+
+    Null and empty texts are scored as texts without words, rows with a null id like others; repeated rows go or stay together. A score
+    of exactly 0.5 counts as 1, so all rows stay where there was nothing to learn from.
+    """
     model = train(saved(features(docs.join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi"))), labels)
     schema = docs.schema
     at = docs.columns.index("text")

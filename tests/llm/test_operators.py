@@ -152,6 +152,28 @@ def test_discriminant_equals_dense_formula():
     assert quality.best_shift({-9: (5, 0), -3: (1, 0), 4: (0, 7)}) == pytest.approx(-1.0, abs=1.1)
 
 
+def test_statistics_equal_plain_counts(odd, none, corpus):
+    for df in (odd, corpus):
+        got = sorted((str(r.doc_id), [round(v, 9) for v in r.x]) for r in quality.features(df).collect())
+        assert got == sorted((str(i), [round(v, 9) for v in brute.statistics(t or "")]) for i, t in texts_of(df))
+    assert quality.features(none).isEmpty()
+
+
+def test_scores_equal_the_textbook(spark, odd, corpus):
+    """A trained model on all of a corpus and on odd rows; a label row that repeats counts again, one without an id or label does not."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    labels = labels.unionByName(labels.where("doc_id % 5 = 0")).unionByName(spark.createDataFrame([(None, 1), (3, None)], labels.schema))
+    model = quality.train(quality.features(corpus), labels)
+    texts = dict(texts_of(corpus))
+    known = [(texts[r.doc_id], r.quality) for r in labels.where(~quality.held_out(F.col("doc_id"))).where("quality is not null").collect() if r.doc_id in texts]
+    vectors, classes = [brute.statistics(t or "") for t, _ in known], [q for _, q in known]
+    for df in (corpus, odd):
+        rows = texts_of(df)
+        want = brute.discriminant(vectors, classes, [brute.statistics(t or "") for _, t in rows], quality.POOLED, quality.RIDGE) + model.shift
+        got = sorted((str(r.doc_id), round(r.score, 5)) for r in quality.score(quality.features(df), model).collect())
+        assert got == sorted((str(i), round(float(0.5 + 0.5 * d / (quality.SCALE + abs(d))), 5)) for (i, _), d in zip(rows, want, strict=True))
+
+
 # ---- 3
 
 
@@ -325,6 +347,31 @@ def test_only_texts_of_enough_common_shingles_are_joined(spark, monkeypatch, gro
     assert got == brute.components(list(range(len(texts))), lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]))
 
 
+def test_recall_on_documents(spark):
+    """Of all pairs of different texts with a similarity of 0.8, nine in ten at least end in one component, and components are no wider
+    than chains of such pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    sets = {}
+    for i, t in texts_of(docs):
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + simhash.SHINGLE]) for k in range(max(1, len(w) - simhash.SHINGLE + 1))}
+    where, links = {}, []
+    for i, own in sets.items():
+        for x in own:
+            where.setdefault(x, []).append(i)
+    for i, own in sets.items():
+        common = {}
+        for x in own:
+            for j in where[x]:
+                common[j] = common.get(j, 0) + 1
+        links += [(i, j) for j, n in common.items() if j < i and n >= simhash.LIKE * (len(own) + len(sets[j]) - n)]
+    linked = set(links)
+    want = brute.components(sorted(sets), lambda a, b: (max(a, b), min(a, b)) in linked)
+    assert len(links) > 20 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
 def test_tables_keep_their_recall():
     for n in (10, 10**6, 10**10):
         masks = simhash.tables(n)
@@ -459,6 +506,32 @@ def test_likelihood_ratio(spark, none, corpus, monkeypatch):
     assert rules.weights(rules.counts(corpus, labels.limit(0))) == [0] * rules.BUCKETS
 
 
+def test_likelihood_ratio_equals_plain_counts(spark, odd, corpus):
+    """Weights of a corpus with trusted ids that repeat or are null, applied to it and to odd rows."""
+    import math
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = labels.where("quality = 1").select("doc_id")
+    trusted = trusted.unionByName(trusted.limit(5)).unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    ids = {r.doc_id for r in trusted.collect()}
+    target, raw = [0] * rules.BUCKETS, [0] * rules.BUCKETS
+    for i, t in texts_of(corpus):
+        for b in brute.gram_buckets(t, rules.BUCKETS):
+            raw[b] += 1
+            target[b] += i in ids
+    a, z = sum(target) + rules.BUCKETS, sum(raw) + rules.BUCKETS
+    want = [round(1000 * (math.log((t + 1) / a) - math.log((r + 1) / z))) for t, r in zip(target, raw, strict=True)]
+    assert rules.weights(rules.counts(corpus, trusted)) == want
+    for df in (corpus, odd):
+        got = sorted(((r.doc_id, r.llr, r.kept) for r in rules.rules(df, want).collect()), key=str)
+        expected = []
+        for i, t in texts_of(df):
+            n, failed = len(brute.WORD.findall(t or "")), brute.rules(t)[-1]
+            total = sum(want[b] for b in brute.gram_buckets(t, rules.BUCKETS))
+            expected.append((i, total / (2 * n) if n else None, not failed and total >= rules.THRESHOLD * 2 * n))
+        assert got == sorted(expected, key=str)
+
+
 # ---- 5
 
 TRICKY = [
@@ -495,6 +568,30 @@ def test_trees_select_and_redact(spark):
     assert not any(a.s < b.e and b.s < a.e for a in spans.added for b in spans.base)
 
 
+def test_selection_equals_plain_python(spark, odd, corpus):
+    """Scores, bounds and overlaps of all candidates of whole tables, with ties between candidates of one span."""
+    trees, bounds = pii.train(spark)
+    made = spark.createDataFrame(rows_of(["password=ann@example.org key: 0123456789abcdef0123 token=4111111111111111", "tel 030 1234567 030 1234567", "1" * 80 + "a" * 20, "a" * 40 + "_key=" + "x9" * 10]), DOCS)
+    for df, model in ((corpus, (trees, bounds)), (odd, (trees, bounds)), (made, (trees, bounds)), (made, ([], [0.0] * len(bounds)))):
+        rows = df.select(F.coalesce("text", F.lit("")).alias("text")).select("text", pii.base_spans(F.col("text")).alias("base"), pii.candidates(F.col("text")).alias("c")).collect()
+        want = []
+        for r in rows:
+            chosen = [(c.s, c.e, c.k) for c in r.c if pii.value(model[0], tuple(c[f] for f in pii.FEATURES)) >= model[1][c.gen]]
+            want.append((r.text, brute.added_spans([(b.s, b.e) for b in r.base], chosen)))
+        got = [(r.text, [(x.s, x.k, x.e) for x in r.added]) for r in pii.personal_data(df, model).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_calibration_holds_on_examples_not_seen(spark):
+    """Precision and recall over examples with other numbers than those that were fitted or calibrated on."""
+    trees, bounds = pii.train(spark)
+    seen = pii.examples(spark).select("text")
+    fresh = pii.examples(spark, 3 * pii.N_EXAMPLES).join(seen, "text", "left_anti")
+    rows = fresh.select("label", "s", F.explode(pii.candidates(F.col("text"))).alias("c")).where("abs(c.s - s) <= 1").select("label", "c.*").collect()
+    chosen = [r.label for r in rows if pii.value(trees, tuple(r[f] for f in pii.FEATURES)) >= bounds[r.gen]]
+    assert len(rows) > 1000 and sum(chosen) >= 0.95 * len(chosen) and sum(chosen) >= 0.7 * sum(r.label for r in rows)
+
+
 def test_all_of_overlapping_candidates_is_redacted(spark):
     model = ([], [0.0] * len(pii.GENERATORS))  # all candidates count
     texts = ["password=xy-ann@example.org/9f8e7d6c end", "key: 4111111111111111abcdefabcdefabcdefabcdef end", "token = 0123456789/abcdefabcdefabcdef end"]
