@@ -7,6 +7,7 @@ grid and built into a pyramid once a session; queries read what the build has st
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quadloom import __main__ as cli
 from quadloom.functions import codec, crs
 from quadloom.functions import tiles as t
-from quadloom.operators import keys, pixels, pyramid
+from quadloom.operators import areas, keys, pixels, pyramid
 from quadloom.operators.lineage import shared_folder
 from quadloom.plans import build
 from quadloom.plans import fixtures as fx
@@ -326,6 +327,59 @@ SELECT wins.metric AS key, opened, closed, count(*) AS n, CAST(sum(d) AS BIGINT)
         events = spark.read.parquet(f"{built(spark, sf_dir)}/resumed/events")
         return stats.by_metric(events).select("metric", ((F.col("n") > 0) & F.col("label").contains("=")).alias("timed"))
 
+    tiles_sql = f"WITH {raster_sql}, {full('raster')}"
+
+    def squares(df: DataFrame, shift: float = 0.0) -> DataFrame:
+        """The unit squares of tiles (tx, ty) as areas."""
+        x, y = F.col("tx") + shift, F.col("ty") + shift
+        corners = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
+        sides = [F.struct(*(v.cast("double").alias(c) for v, c in zip((*a, *b), areas.EDGE, strict=True))) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+        return df.select((F.col("tx") * 1000000 + F.col("ty")).cast("long").alias("area"), F.explode(F.array(*sides)).alias("e")).select("area", "e.*")
+
+    def data_tiles(spark, sf_dir) -> DataFrame:
+        return pixels.base_tiles(fx.raster(spark, sf_dir)).where("has_data").select("tx", "ty", "opaque")
+
+    side_sql = lambda e, dx, dy: f"SELECT {e} FROM full_tiles f WHERE NOT EXISTS (SELECT 1 FROM full_tiles g WHERE g.tx = f.tx + {dx} AND g.ty = f.ty + {dy})"
+    outline = " UNION ALL ".join(side_sql(e, dx, dy) for e, dx, dy in (("tx AS x1, ty AS y1, tx + 1 AS x2, ty AS y2", 0, -1), ("tx + 1, ty, tx + 1, ty + 1", 1, 0), ("tx + 1, ty + 1, tx, ty + 1", 0, 1), ("tx, ty + 1, tx, ty", -1, 0)))
+
+    @query(f"{tiles_sql} SELECT CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2 FROM ({outline})")
+    def q56_dissolve(spark, sf_dir):
+        """The outline of the tiles with data, as footprints are dissolved."""
+        return areas.dissolved(squares(data_tiles(spark, sf_dir)), 1.5).select(*(F.round(c).cast("long").alias(c) for c in areas.EDGE))
+
+    quarter_cells = lambda source, shift: f"SELECT DISTINCT 2 * tx + {shift} + i AS x, 2 * ty + {shift} + j AS y FROM {source}, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)"
+
+    @query(f"{tiles_sql}, solid AS (SELECT tx, ty FROM raster GROUP BY tx, ty HAVING bool_and(a = 255)) SELECT CAST(count(*) AS BIGINT) AS quarters FROM ({quarter_cells('full_tiles', 0)} INTERSECT {quarter_cells('solid', 1)})")
+    def q57_area_intersection(spark, sf_dir):
+        """What the tiles with data share with the opaque ones half a tile further on, in quarters of a tile."""
+        data = data_tiles(spark, sf_dir)
+        both = areas.intersection(squares(data), squares(data.where("opaque"), 0.5), 1.5)
+        return areas.measure(both).select(F.round(F.col("area") * 4).cast("long").alias("quarters"))
+
+    corner = 2 * areas.QUARTER * math.sin(math.pi / 2 / areas.QUARTER) * 9
+
+    @query(f"{tiles_sql}, box AS (SELECT max(tx) + 1 - min(tx) AS w, max(ty) + 1 - min(ty) AS h FROM full_tiles) SELECT CAST(round((w * h + 6 * (w + h) + {corner!r}) * 1000) AS BIGINT) AS thousandths FROM box")
+    def q58_buffer(spark, sf_dir):
+        """The area within three tiles of the box of the tiles with data."""
+        b = data_tiles(spark, sf_dir).agg(F.min("tx").alias("x0"), F.min("ty").alias("y0"), (F.max("tx") + 1).alias("x1"), (F.max("ty") + 1).alias("y1"))
+        corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+        sides = [F.struct(*(F.col(v).cast("double").alias(c) for v, c in zip((*p, *q), areas.EDGE, strict=True))) for p, q in zip(corners, corners[1:] + corners[:1], strict=True)]
+        edges = b.select(F.lit(0).cast("long").alias("area"), F.explode(F.array(*sides)).alias("e")).select("area", "e.*")
+        return areas.measure(areas.buffered(edges, 3.0, 8.0)).select(F.round(F.col("area") * 1000).cast("long").alias("thousandths"))
+
+    codes = [("EPSG:3857", True), ("EPSG:4326", True), ("EPSG:5514", True), ("EPSG:8353", True), ("EPSG:32633", False)]
+
+    @query(sql_values([(c, k, k) for c, k in codes], "code, known, inverts"))
+    def q59_pipeline_lookup(spark, sf_dir):
+        """Codes with a pipeline, and whether the pipeline, run forth and back over a point, ends where it began."""
+
+        def inverts(code):
+            x, y = (np.array([-450000.0]), np.array([-1200000.0])) if code in crs.CODES else (np.array([17.0]), np.array([48.0]))
+            back = crs.parse(crs.pipeline_of(code)).inverse(*crs.parse(code).forward(x, y))
+            return bool(np.allclose(back, (x, y), atol=2e-3))
+
+        return values(spark, [(c, crs.pipeline_of(c) is not None, crs.pipeline_of(c) is not None and inverts(c)) for c, _ in codes], "code string, known boolean, inverts boolean")
+
     @query("SELECT * FROM (VALUES (256, 3, 2048), (256, 0, 256), (512, 6, 32768), (256, 8, -1), (16, 2, 64)) v(tile_size, zoom_offset, pixels)")
     def q55_mega_size(spark, sf_dir):
         """Pixels a side of megatiles; -1 where they are refused."""
