@@ -1,7 +1,9 @@
 """Corpus pipeline: five stages over documents, each applying one training-data operator to all that the stage before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it back for the next.
-Nulls, empty tables and extra columns are handled as the operators say; all stages but the last return the columns of docs.
+All stages but the last return the columns of docs, in their order, extra ones included. Null texts count as empty ones in every stage
+(and stay null), null ids and sources are values like others, repeated rows are decided alike, and an empty table stays empty; what else a
+stage does with ties is said by its operator.
 """
 
 from __future__ import annotations
@@ -56,11 +58,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order. What lies between them is written below the shared checkpoint folder."""
+    """All stages in order. What lies between them is written below the shared checkpoint folder, and deleted when the next stage is
+    written; the last result stays there for the caller to read."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
