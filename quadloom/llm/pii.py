@@ -284,4 +284,4 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(k):
         return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-    return found.select("doc_id", *(number(k) for k in range(len(BASE))), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *(number(k) for k in range(len(BASE))), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
