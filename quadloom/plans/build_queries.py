@@ -10,13 +10,14 @@ import json
 import math
 import re
 import uuid
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom import __main__ as cli
-from quadloom.functions import codec, crs
+from quadloom.functions import codec, crs, resample
 from quadloom.functions import tiles as t
 from quadloom.operators import areas, keys, pixels, pyramid
 from quadloom.operators.lineage import shared_folder
@@ -327,6 +328,41 @@ SELECT wins.metric AS key, opened, closed, count(*) AS n, CAST(sum(d) AS BIGINT)
         events = spark.read.parquet(f"{built(spark, sf_dir)}/resumed/events")
         return stats.by_metric(events).select("metric", ((F.col("n") > 0) & F.col("label").contains("=")).alias("timed"))
 
+    kernel = "kernel(o, w) AS (VALUES " + ", ".join(f"({o}, CAST({float(resample.lanczos((o + 0.5) / 2))!r} AS DOUBLE))" for o in range(-6, 6)) + ")"
+    rounded = lambda v: f"CAST(floor(greatest(0, least(255, {v})) + {resample.HALF_UP}) AS INT)"
+
+    @query(f"""WITH {crop}, {kernel}, ends AS (SELECT max(py) AS y1 FROM cropped),
+outs AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM (SELECT unnest(generate_series(0, {LAST // 2})) AS i), (SELECT unnest(generate_series(0, (SELECT y1 // 2 FROM ends))) AS j), ends WHERE 2 * i + 1 BETWEEN {LEFT} AND {LAST} AND 2 * j + 1 BETWEEN {TOP} AND y1),
+sums AS (SELECT i, j, sum(g * k.w * l.w) / sum(k.w * l.w) AS g, sum(a * k.w * l.w) / sum(k.w * l.w) AS a FROM outs, kernel k, kernel l JOIN cropped ON px = 2 * i + 1 + k.o AND py = 2 * j + 1 + l.o GROUP BY i, j),
+whole AS (SELECT i, j, {rounded('g')} AS g, {rounded('a')} AS a FROM sums)
+SELECT CAST(20 + i // {TS} AS INT) AS p, CAST(10 + j // {TS} AS INT) AS q, CAST(i % {TS} AS INT) AS x, CAST(j % {TS} AS INT) AS y, CASE WHEN a = 0 THEN 0 ELSE g END AS g, a FROM whole""")
+    def q60_lanczos_warp(spark, sf_dir):
+        """Megatiles sampled from a source of twice their resolution, over the edges of blocks and files."""
+        metas = raster.read_meta(spark, f"{built(spark, sf_dir)}/source")
+        whole = raster.together(metas)[0]
+        half = replace(whole, geo_transform=(20 * TS * STEP - t.HALF + LEFT * STEP / 2, STEP / 2, 0.0, t.HALF - 10 * TS * STEP - TOP * STEP / 2, 0.0, -STEP / 2))
+        same = crs.parse("EPSG:3857")
+        cover = keys.bbox_tiles(spark, *same.bounds(*half.bbox), RZ)
+        tiles = pyramid.base_tiles(cover, raster.read_blocks(spark, f"{built(spark, sf_dir)}/source", 32, metas), half, same, TS, 2, 32)
+        rows = pyramid.to_pixels_table(tiles, TS)
+        i, j = (F.col("p") - 20) * TS + F.col("x"), (F.col("q") - 10) * TS + F.col("y")
+        last = half.height + TOP - 1
+        return rows.where((2 * i + 1).between(LEFT, LAST) & (2 * j + 1).between(TOP, last))
+
+    @query(f"WITH {crop}, {grid}, bare AS (SELECT tx, ty, ix, iy, g, CASE WHEN g = 128 OR a = 0 THEN 0 ELSE a END AS a FROM cropped), {full('bare')} {tile_pixels('bare')}")
+    def q61_nodata_and_no_markers(spark, sf_dir):
+        """A build that honours a no-data value and stores no markers."""
+        folder = built(spark, sf_dir)
+        if not build.exists(spark, f"{folder}/bare"):
+            for m in raster.read_meta(spark, f"{folder}/source"):
+                side_ = {"geo_transform": m.geo_transform, "srs": m.srs, "bands": m.bands, "width": m.width, "height": m.height, "nodata": [128, None]}
+                name = m.path.rsplit("/", 1)[1]
+                put(spark, f"{folder}/bare-source/{name}.json", json.dumps(side_).encode())
+                put(spark, f"{folder}/bare-source/{name}", build.read_file(spark, m.path))
+            build.build_tiles(spark, replace(options(folder, "bare", use_nodata=True, insert_empty=False), source=f"{folder}/bare-source"))
+        table = stored(spark, sf_dir, "bare")
+        return base_pixels(table if table.where(F.length("tile_data") == 0).isEmpty() else table.limit(0))
+
     tiles_sql = f"WITH {raster_sql}, {full('raster')}"
 
     def squares(df: DataFrame, shift: float = 0.0) -> DataFrame:
