@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadloom.llm import bpe, ctph, graph, html, lines, mixing, pii, quality, rules, simhash, token_counts
+from quadloom.llm import bpe, common, ctph, graph, html, lines, mixing, pii, quality, rules, simhash, token_counts
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -456,9 +456,44 @@ def test_schedule_moves_heavy_sources_forward(spark):
     assert place["s0"] < 0.45 < place["s1"] < 0.55 < place["s2"]
 
 
+def test_join_hot_equals_join(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = spark.createDataFrame([(rnd.choice(["a"] * 20 + ["b", "c", "d", None]), i) for i in range(200)], "k string, i long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    want = sorted(map(tuple, rows.join(groups, "k").select("k", "i", "n", "top").collect()))
+    for keys in (1, 10, 1000):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        assert sorted(map(tuple, common.join_hot(rows, groups, "k", "n", 200).collect())) == want
+        assert sorted(map(tuple, common.join_hot(rows, groups.withColumn("i2", F.col("n")), ["k"], "n", 200).drop("i2").collect())) == want
+    assert common.join_hot(rows.limit(0), groups, "k", "n", 0).isEmpty()
+
+
 # ---- 10
 
 
+def test_blocks_are_ranked_in_the_order_of_their_halves(spark):
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(6), rnd.randrange(6)) for _ in range(60)]
+    got = lines.ranked(spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a long, b long")).collect()
+    twice = [p for p in pairs if pairs.count(p) > 1]
+    assert sorted(r.k for r in got) == [k for k, p in enumerate(pairs) if p in twice]
+    order = {}
+    for r in got:
+        assert order.setdefault(pairs[r.k], r.r) == r.r
+    assert [order[p] for p in sorted(order)] == sorted(order.values()) and len(set(order.values())) == len(order)
+
+
+def test_repeated_rows_and_long_runs(spark):
+    """Fully equal rows stay alike; runs of many lines of one word, in one document or several, with and without ids."""
+    long = "\n".join(f"w{i % 7}" for i in range(400))
+    other = "\n".join(f"v{i}" for i in range(70))
+    texts = [(1, other + "\n" + long), (1, other + "\n" + long), (2, "x\n" + other + "\ny"), (None, other), (3, long)]
+    df = spark.createDataFrame(rows_of([t for _, t in texts], [i for i, _ in texts]), DOCS)
+    got = sorted((str(r.doc_id), len(r["__ql_removed"])) for r in lines.remove_repeats(df).collect())
+    gone = brute.removed_lines([(1, texts[0][1]), (2, texts[2][1]), (3, long), (9, other)], 50)
+    assert got == sorted([("1", len(gone[1])), ("1", len(gone[1])), ("2", len(gone[2])), ("3", len(gone[3])), ("None", len(gone[9]))])
+
+
 def test_lines_equal_brute_force(spark, odd, none, corpus):
     rnd = random.Random(4)
     vocabulary = [" ".join(f"t{rnd.randrange(5)}" for _ in range(rnd.randrange(1, 5))) for _ in range(7)] + ["", "  "]
