@@ -48,6 +48,8 @@ class MBTilesReader(DataSourceReader):
         return [Stripe(z, c, min(c + STRIPE, b + 1)) for z, a, b in ranges if self.zooms is None or z in self.zooms for c in range(a, b + 1, STRIPE)]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there is no partition
+            return
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             alpha = "tile_alpha" if "tile_alpha" in _columns(con) else "NULL"
             yield from con.execute(f"SELECT zoom_level, tile_column, tile_row, tile_data, {alpha} FROM tiles WHERE zoom_level = ? AND tile_column >= ? AND tile_column < ?", (partition.zoom, partition.low, partition.high))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions import codec
+from quadloom.functions import tiles as t
 from quadloom.functions.tiles import HALF
 from quadloom.operators import keys, pyramid
 from quadloom.plans.build import TilerOptions, build_tiles, export_mbtiles
@@ -138,6 +139,79 @@ def test_polygon_holes_and_containment(spark):
     assert keys.in_polygon(cells, [tuple(map(float, e)) for e in square(3.2, 3.4)], box).count() == 1
 
 
+def box_of(z, x, y):
+    side = 2 * HALF / (1 << z)
+    return x * side - HALF, HALF - (y + 1) * side, (x + 1) * side - HALF, HALF - y * side
+
+
+def in_area(edges, box):
+    """Whether a box meets an area, told edge by edge."""
+    x0, y0, x1, y1 = box
+    odd = False
+    for a, b, c, d in edges:
+        if min(a, c) <= x1 and max(a, c) >= x0 and min(b, d) <= y1 and max(b, d) >= y0:
+            turns = [(c - a) * (y - b) - (d - b) * (x - a) for x in (x0, x1) for y in (y0, y1)]
+            if min(turns) <= 0 <= max(turns):
+                return True
+        odd ^= (b > y0) != (d > y0) and x0 < (c - a) * (y0 - b) / (d - b) + a
+    return odd
+
+
+def test_polygon_descent_equals_a_test_of_every_tile(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def star(r, n, rough):
+        at = 2 * np.pi * np.arange(n) / n
+        far = r * (1 + rough * rng.uniform(-1, 1, n))
+        points = list(zip((2e6 + far * np.cos(at)).tolist(), (6e6 + far * np.sin(at)).tolist(), strict=True))
+        return [(*a, *b) for a, b in zip(points, points[1:] + points[:1], strict=True)]
+
+    edges = star(8e5, 200, 0.3) + star(2e5, 30, 0.1)  # with a hole
+    box = (1.1e6, 5.05e6, 3.2e6, 7e6)
+    for first in (keys.FIRST_CELLS, 4):
+        monkeypatch.setattr(keys, "FIRST_CELLS", first)
+        for z in (0, 6, 9):
+            every = keys.bbox_tiles(spark, *box, z)
+            want = sorted((r.x, r.y) for r in every.collect() if in_area(edges, box_of(z, r.x, r.y)))
+            assert sorted((r.x, r.y) for r in keys.polygon_tiles(spark, *box, z, edges).collect()) == want
+            bounds = t.bounds("z", "x", "y")
+            assert sorted((r.x, r.y) for r in keys.in_polygon(every, edges, bounds).collect()) == want
+    far = [tuple(v + 1e7 for v in e) for e in edges]
+    assert keys.polygon_tiles(spark, *box, 9, far).isEmpty() and keys.in_polygon(every.limit(0), edges, bounds).isEmpty()
+
+
+def test_places_in_z_order(spark):
+    tiles = spark.range(2000).select(F.lit(12).alias("z"), (F.col("id") * 7919 % 100).cast("int").alias("x"), (F.col("id") * 104729 % 64).cast("int").alias("y"))
+    rows = keys.z_order_position(tiles.unionByName(tiles.limit(50))).orderBy("n").collect()  # equal keys get places in turn
+    assert [r.n for r in rows] == list(range(1, 2051)) and {r.total for r in rows} == {2050}
+    assert all(a.m <= b.m for a, b in zip(rows, rows[1:], strict=False))
+    shares = sorted(r.pct for r in keys.progress(tiles).collect())
+    assert shares[0] == 0 and shares[-1] < 100
+
+
+def test_event_log_can_be_followed(spark, tmp_path):
+    px = gradient(20, 20, 3)
+    got = build_tiles(spark, options(tmp_path, write_raster(tmp_path / "src", px)))
+    events = spark.read.parquet(str(tmp_path / "out" / "events"))
+    assert [r.metric for r in events.orderBy("t").collect()] == ["select", "warp", "compose", "compose", "encode"] and got["tiles"].count() > 0
+    last = stats.gauges(events, {"pct": "pct", "left": "left"}).first()
+    assert (last.pct, last.left) == (100.0, 0)
+    follow = stats.console(spark, str(tmp_path / "out"), 1)
+    follow.processAllAvailable()
+    assert follow.lastProgress["numInputRows"] >= 0 and follow.exception() is None
+    follow.stop()
+
+
+def test_zooms_of_a_file_are_read_apart(spark, tmp_path):
+    px = gradient(40, 40, 3)
+    build_tiles(spark, options(tmp_path, write_raster(tmp_path / "src", px)))
+    path = str(tmp_path / "t.mbtiles")
+    export_mbtiles(spark, str(tmp_path / "out"), path)
+    one, two = (mbtiles.read_mbtiles(spark, path, [z]) for z in (Z, Z - 1))
+    both = one.unionByName(two).groupBy("zoom_level").count().collect()
+    assert {r.zoom_level: r["count"] for r in both} == {Z: one.count(), Z - 1: two.count()} and mbtiles.read_mbtiles(spark, path, []).isEmpty()
+
+
 def sidecar(folder, name, gt, **side):
     (folder / f"{name}.json").write_text(json.dumps({"geo_transform": gt, "srs": "EPSG:3857"} | side))
 
