@@ -24,12 +24,16 @@ MIN_WORDS, WINDOW = 50, 3
 SYMBOLS = "#*$%&|<>"
 
 
-def _words(docs: DataFrame, *more: Column) -> DataFrame:
-    """text, words, h (a hash of each word) and pairs (a hash of each word and the next one, or the end), beside `more`."""
+def _split(docs: DataFrame, *more: Column) -> DataFrame:
+    """text and words, beside `more`."""
     text = text_of(docs)
-    split = docs.select(*more, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
-    hashed = split.select("*", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.select("*", let(F.col("h"), _next).alias("pairs"))
+    return docs.select(*more, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
+
+
+def _grams(split: DataFrame, *kept: Column | str) -> DataFrame:
+    """h (a hash of each word) and pairs (a hash of each word and the next one, or the end), beside `kept`. Texts and words are left
+    behind, so that they are not copied from step to step."""
+    return split.select(*kept, F.transform("words", lambda x: F.xxhash64(x)).alias("h")).select("*", let(F.col("h"), _next).alias("pairs"))
 
 
 def _next(h: Column) -> Column:
@@ -51,7 +55,7 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__ql_id"), "left")
-    grams = _words(marked, F.col("__ql_id").isNotNull().alias("target")).select("target", F.explode(F.concat("h", "pairs")).alias("gram"))
+    grams = _grams(_split(marked, F.col("__ql_id").isNotNull().alias("target")), "target").select("target", F.explode(F.concat("h", "pairs")).alias("gram"))
     rows = grams.select("target", _bucket(F.col("gram")).alias("bucket"))
     return rows.groupBy("bucket", "target").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"), F.sum("n").alias("raw"))
 
@@ -67,45 +71,64 @@ def weights(table_of_counts: DataFrame) -> list[int]:
     return [round(1000 * (math.log((t + 1) / a) - math.log((r + 1) / z))) for t, r in zip(target, raw, strict=True)]
 
 
-def _repeated_words() -> Column:
-    """Words in WINDOW-word windows that occur twice or more in the text (columns h, pairs). A window is named by the pairs in it."""
-    def windows(p):
-        for _ in range(WINDOW - 2):
-            p = let(p, _next)
-        return let(p, lambda w: F.slice(w, 1, F.size(w) - (WINDOW - 1)))
+#: Bits of a window's place where windows are sorted by the rest of their hash.
+PLACE = 30
+
+
+def _windows() -> Column:
+    """Names of the WINDOW-word windows (columns h, pairs), by the pairs in them."""
+    p = F.col("pairs")
+    for _ in range(WINDOW - 2):
+        p = let(p, _next)
+    return F.when(F.size("h") >= WINDOW, let(p, lambda w: F.slice(w, 1, F.size(w) - (WINDOW - 1))))
+
+
+def _repeated_words(counted: DataFrame) -> DataFrame:
+    """counted (column t: windows; dropped) with n_repeat_words, the words in windows that occur twice or more.
+
+    Most windows are told apart by some bits of their hash, which are sorted with their places as plain numbers; only those that share
+    these bits with another one are sorted by the whole hash.
+    """
+    placed = F.transform("t", lambda x, i: F.shiftleft(x, PLACE).bitwiseOR(i.cast("long")))
+    columns = [c for c in counted.columns if c != "t"]
+    sorted_ = counted.select(*columns, "t", F.when(F.size(F.array_distinct("t")) < F.size("t"), placed).alias("s")).select(*columns, "t", F.sort_array("s").alias("s"))
+    bits = lambda e: F.shiftrightunsigned(e, PLACE)
+    both = let(F.col("s"), lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(bits(x) == bits(y), F.array(x, y))))
+    few = F.array_distinct(F.flatten(F.array_compact(both)))
 
     def covered(t):
-        placed = F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))  # array_sort is several times slower
-        again = let(placed, lambda s: F.filter(s, lambda e, j: (e["x"] == F.get(s, j - 1)["x"]) | F.coalesce(e["x"] == F.get(s, j + 1)["x"], F.lit(False))))
+        place = lambda e: e.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+        exact = F.sort_array(F.transform(few, lambda e: F.struct(F.get(t, place(e)).alias("x"), place(e).alias("i"))))  # array_sort is several times slower
+        again = let(exact, lambda s: F.filter(s, lambda e, j: (e["x"] == F.get(s, j - 1)["x"]) | F.coalesce(e["x"] == F.get(s, j + 1)["x"], F.lit(False))))
         starts = F.sort_array(F.transform(again, lambda e: e["i"]))
         steps = let(starts, lambda p: F.transform(p, lambda e, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), e - F.get(p, k - 1)))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    full = let(windows(F.col("pairs")), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(covered(t)))
-    return F.when(F.size("h") > WINDOW, full).otherwise(0)
+    repeated = F.when(F.col("s").isNull(), 0).otherwise(let(F.col("t"), covered))
+    return sorted_.select(*columns, repeated.cast("long").alias("n_repeat_words"))
 
 
 def rules(docs: DataFrame, bucket_weights: list[int], threshold: int = THRESHOLD) -> DataFrame:
     """doc_id and, over each whole text (null: no words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, llr (mean thousandths of a nat a gram, null without words), kept. Repeated rows repeat."""
-    words = _words(docs, F.col("doc_id"))
     table_ = F.split(F.lit(",".join(map(str, bucket_weights))), ",").cast("array<int>")  # folded to one literal
     of = lambda b: F.get(table_, b)
     total = F.aggregate(F.zip_with("h", "pairs", lambda x, y: of(_bucket(x)) + of(_bucket(y))), F.lit(0).cast("long"), lambda a, b: a + b)
     worded = let(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\f\r"), x)) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    out = words.select(
+    counted = _grams(
+        _split(docs, F.col("doc_id")),
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         worded.cast("long").alias("n_dup_lines"),
-        _repeated_words().cast("long").alias("n_repeat_words"),
-        total.alias("total"),
     )
+    out = _repeated_words(counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", total.alias("total"), _windows().alias("t")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = F.col("total") >= threshold * 2 * F.col("n_words")
     llr = F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words")))
-    return out.select(*(c for c in out.columns if c != "total"), failed.alias("base_failed"), llr.alias("llr"), (~failed & enough).alias("kept"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(*columns, failed.alias("base_failed"), llr.alias("llr"), (~failed & enough).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
