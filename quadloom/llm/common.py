@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import re
 import tempfile
 
@@ -29,10 +31,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
 
 
+#: Checkpoints between two times that what is out of use is given back.
+ROUNDS = 4
+_count = itertools.count(1)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage by a reliable checkpoint."""
+    """df, computed once and cut from its lineage by a reliable checkpoint.
+
+    Spark deletes the shuffle files and checkpoints of frames that are out of use only when the driver collects its garbage, which
+    it may not do for half an hour; jobs of many rounds would fill the disks meanwhile. So every ROUNDS-th call asks for it.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_count) % ROUNDS == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Bytes of an Arrow batch that goes to Python workers; with several workers an executor, larger ones add up.
