@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state != before:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(u, F.least(u, F.col("m")).alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v)
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()  # a hub's rows become few before they meet
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v)
         now = saved(small.union(least.select("u", "m")).distinct())
