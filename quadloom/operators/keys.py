@@ -135,8 +135,8 @@ def polygon_tiles(spark: SparkSession, min_x: float, min_y: float, max_x: float,
     out = cells.select("z", "x", "y")
     if whole is not None:
         n = F.pow(F.lit(2.0), F.lit(zoom) - F.col("z")).cast("long")
-        # one row a row of tiles first, so that no cell becomes all its tiles in one go
-        rows = whole.withColumn("n", n).select("x", "n", F.explode(F.sequence(F.col("y") * F.col("n"), (F.col("y") + 1) * F.col("n") - 1)).alias("ty"))
+        # one row a row of tiles first, dealt anew, so that no cell becomes all its tiles in one task
+        rows = whole.withColumn("n", n).select("x", "n", F.explode(F.sequence(F.col("y") * F.col("n"), (F.col("y") + 1) * F.col("n") - 1)).alias("ty")).repartition(F.col("x"), F.col("ty"))
         full = rows.select(F.lit(zoom).alias("z"), F.explode(F.sequence(F.col("x") * F.col("n"), (F.col("x") + 1) * F.col("n") - 1)).alias("x"), F.col("ty").cast("int").alias("y")).withColumn("x", F.col("x").cast("int"))
         out = out.unionByName(full)
     x0, x1, y0, y1 = _range(min_x, min_y, max_x, max_y, zoom)

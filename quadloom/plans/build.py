@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def occupied(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at `path` besides the event log of a build that has not come to an end."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and (not fs.getFileStatus(p).isDirectory() or any(x.getPath().getName() != "events" for x in fs.listStatus(p)))
+
+
 def read_file(spark: SparkSession, path: str) -> bytes | None:
     """The bytes of one small file, or None if there is none."""
     return bytes(spark.read.format("binaryFile").load(path).first().content) if exists(spark, path) else None
@@ -84,14 +93,14 @@ def metadata_rows(options: TilerOptions, bounds: tuple[float, float, float, floa
 
 
 class Timers:
-    """A build's event log: one row a step, appended as the step ends, so that a stream can follow it."""
+    """A build's event log: one row a step, appended as the step ends, so that a stream can follow it. `run` tells builds apart."""
 
     def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.path, self.at = spark, f"{target}/events", time.time()
+        self.spark, self.path, self.at, self.run = spark, f"{target}/events", time.time(), uuid.uuid4().hex
 
     def took(self, metric: str, pct: float = 0.0, left: int = 0) -> None:
         now = time.time()
-        row = (int(now * 1000), metric, int((now - self.at) * 1000), float(pct), left)
+        row = (int(now * 1000), metric, int((now - self.at) * 1000), float(pct), left, self.run)
         self.spark.createDataFrame([row], stats.EVENTS).coalesce(1).write.mode("append").parquet(self.path)
         self.at = time.time()
 
@@ -107,7 +116,7 @@ def build_tiles(spark: SparkSession, options: TilerOptions) -> dict[str, DataFra
     """
     options = options.checked()
     same = options.continue_from == options.target
-    if exists(spark, options.target) and not same:
+    if not same and occupied(spark, options.target):
         raise FileExistsError(f"{options.target} exists: continue from it or choose another")
     metas = raster.read_meta(spark, options.source)
     meta, _ = raster.together(metas)

@@ -12,8 +12,8 @@ from quadloom.functions.tiles import mean_duration
 #: A window closes at the first event this long after it opened.
 PERIOD_MS = 11_000
 METRICS = ("select", "insert", "encode", "warp", "compose")
-#: A build's event log: milliseconds since 1970, step, milliseconds it took, share of the tiles that are done, zooms to go.
-EVENTS = "t long, metric string, d long, pct double, left int"
+#: A build's event log: milliseconds since 1970, step, milliseconds it took, share of the tiles that are done, zooms to go, and the build.
+EVENTS = "t long, metric string, d long, pct double, left int, run string"
 
 
 def by_metric(events: DataFrame) -> DataFrame:

@@ -202,6 +202,17 @@ def test_event_log_can_be_followed(spark, tmp_path):
     follow.stop()
 
 
+def test_a_build_that_was_cut_short_can_be_made_again(spark, tmp_path):
+    src = write_raster(tmp_path / "src", gradient(20, 20, 3))
+    left = spark.createDataFrame([(1, "warp", 2, 0.0, 3, "old")], stats.EVENTS)
+    left.write.parquet(str(tmp_path / "out" / "events"))
+    assert build_tiles(spark, options(tmp_path, src))["tiles"].count() > 0
+    assert spark.read.parquet(str(tmp_path / "out" / "events")).select("run").distinct().count() == 2
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(FileExistsError):
+        build_tiles(spark, TilerOptions(src, str(tmp_path / "file"), Z, tile_size=TS))
+
+
 def test_zooms_of_a_file_are_read_apart(spark, tmp_path):
     px = gradient(40, 40, 3)
     build_tiles(spark, options(tmp_path, write_raster(tmp_path / "src", px)))
