@@ -7,7 +7,7 @@ from quadloom.operators import keys
 from quadloom.plans.queries import QUERIES, SQL
 
 #: Of a raster of 1,000 rows, from tile row 10 of zoom 6 on, 136 lie below the world.
-BEYOND = ["q33_built_base", "q34_built_parents", "q35_built_markers", "q36_resumed_base", "q37_mbtiles_by_zoom", "q38_built_metadata", "q39_debug_steps"]
+BEYOND = ["q33_built_base", "q34_built_parents", "q35_built_markers", "q36_resumed_base", "q37_mbtiles_by_zoom", "q38_built_metadata", "q39_debug_steps", "q61_nodata_and_no_markers"]
 
 
 @pytest.fixture(scope="module")
