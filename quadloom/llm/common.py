@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.operators.lineage import small_batches  # noqa: F401
+
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,19 +52,6 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-#: Bytes of an Arrow batch that goes to Python workers; with several workers an executor, larger ones add up.
-BATCH = "4m"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to BATCH, as Spark reads the setting when a frame runs, not when it is made. A caller's
-    own setting, if there is one, stays."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in conf.getAll:
-        conf.set(name, BATCH)
-    return df
-
-
 #: `join_hot`: at most so many keys are broadcast.
 HOT_KEYS = 1000
 

@@ -1,10 +1,14 @@
 """Queries over builds whose raster leaves the square of the world agree with DuckDB."""
 
+import json
+
 import duckdb
+import numpy as np
 import pytest
 
 from quadloom.operators import keys
 from quadloom.plans.queries import QUERIES, SQL
+from quadloom.sources import raster
 
 #: Of a raster of 1,000 rows, from tile row 10 of zoom 6 on, 136 lie below the world.
 BEYOND = ["q33_built_base", "q34_built_parents", "q35_built_markers", "q36_resumed_base", "q37_mbtiles_by_zoom", "q38_built_metadata", "q39_debug_steps", "q61_nodata_and_no_markers"]
@@ -37,3 +41,24 @@ def test_tiles_beyond_the_world_by_option(spark):
     assert {r.y for r in keys.bbox_tiles(spark, *box, 3, True).collect()} == set(range(4, 16))
     edges = [(-9e5, -5.9e7, 9e5, -5.9e7), (9e5, -5.9e7, 9e5, -5.5e7), (9e5, -5.5e7, -9e5, -5.5e7), (-9e5, -5.5e7, -9e5, -5.9e7)]
     assert {r.y for r in keys.polygon_tiles(spark, *box, 3, edges, True).collect()} == {14, 15} and keys.polygon_tiles(spark, *box, 3, edges).isEmpty()
+
+
+def test_many_small_raw_files_are_one_scan(spark, tmp_path, monkeypatch):
+    px = np.arange(60 * 5 * 2, dtype=np.uint16).astype(np.uint8).reshape(60, 5, 2)
+    for k in range(20):
+        (tmp_path / f"{k:02d}.raw").write_bytes(px[3 * k : 3 * k + 3].tobytes())
+        side = {"geo_transform": [0.0, 1.0, 0.0, -3.0 * k, 0.0, -1.0], "srs": "EPSG:3857", "bands": ["gray", "alpha"], "width": 5, "height": 3}
+        (tmp_path / f"{k:02d}.raw.json").write_text(json.dumps(side))
+
+    def read():
+        blocks = raster.read_blocks(spark, str(tmp_path), 4)
+        out = np.zeros_like(px)
+        for b in blocks.collect():
+            y, x = b.block_y * 4 + b.py, b.block_x * 4 + b.px
+            out[y : y + b.h, x : x + b.w] = np.frombuffer(bytes(b.buf), np.uint8).reshape(b.h, b.w, 2)
+        return out, blocks.rdd.getNumPartitions()
+
+    got, parts = read()
+    assert (got == px).all() and parts < 20  # each file was a reader of two partitions
+    monkeypatch.setattr(raster, "WHOLE", 0)
+    assert (read()[0] == px).all()
