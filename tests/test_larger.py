@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quadloom.operators import keys
+from quadloom.operators import keys, pyramid
 from quadloom.plans.queries import QUERIES, SQL
 from quadloom.sources import raster
 
@@ -62,3 +62,19 @@ def test_many_small_raw_files_are_one_scan(spark, tmp_path, monkeypatch):
     assert (got == px).all() and parts < 20  # each file was a reader of two partitions
     monkeypatch.setattr(raster, "WHOLE", 0)
     assert (read()[0] == px).all()
+
+
+def test_pixels_reach_python_as_numbers(spark):
+    rows = spark.range(2000).selectExpr("cast(id div 4 as int) tx", "3 ty", "cast(id % 2 as int) ix", "cast(id div 2 % 2 as int) iy", "cast(id % 251 as int) g", "255 a")
+    tiles = pyramid.from_pixels(rows, 6, 2)
+    assert "struct<ix" not in tiles._jdf.queryExecution().analyzed().children().apply(0).schema().simpleString()  # a dict a pixel in Python
+    got = {r.x: bytes(r.buf) for r in tiles.collect()}
+    assert got == {x: bytes(v for i in range(4 * x, 4 * x + 4) for v in (i % 251, 255)) for x in range(500)}
+
+
+def test_decoded_tiles_are_passed_on_in_parts(spark, monkeypatch):
+    tiles = spark.range(50).selectExpr("6 z", "cast(id as int) x", "3 y", "cast(repeat(chr(65 + id % 26), 8) as binary) buf")
+    monkeypatch.setattr(pyramid, "HELD", 1)
+    back = pyramid.decode(pyramid.encode(tiles, 2, 2, "png", 85), 2, 2)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tiles.collect()))
+    assert pyramid.to_pixels_table(back, 2).count() == 200
