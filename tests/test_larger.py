@@ -78,3 +78,10 @@ def test_decoded_tiles_are_passed_on_in_parts(spark, monkeypatch):
     back = pyramid.decode(pyramid.encode(tiles, 2, 2, "png", 85), 2, 2)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tiles.collect()))
     assert pyramid.to_pixels_table(back, 2).count() == 200
+
+
+def test_python_gets_small_batches_of_tiles(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    pyramid.from_pixels(spark.createDataFrame([], "tx int, ty int, ix int, iy int, g int, a int"), 6, 2)
+    assert spark.conf.get(name) == "4m"
