@@ -15,6 +15,7 @@ template. Fixed lists of element names and class words name these parts. Class w
 
 import hashlib
 import html as entities
+import json
 import re
 import zlib
 
@@ -244,12 +245,25 @@ def sketch(texts: list[str]) -> int:
 def extract(page: str, template: list[str] | None) -> str:
     """The article's text: blocks in page order, one a line, without those that are tokens of the template. Constant sentences stay
     on a page that would have less text without them than they are: it is a copy of others."""
-    blocks = slots(page)[1]
+    return filled([(token, text) for token, text, _ in slots(page)[1]], template)
+
+
+def filled(blocks: list[tuple[str, str]], template: list[str] | None) -> str:
+    """extract() from the page's blocks as (text token, text)."""
     constant = {t for t in template or () if t[:1] in "=~"}
-    size = lambda sentence: sum(len(x) for t, x, _ in blocks if (t in constant) == sentence and (not sentence or len(x.split()) >= SENTENCE))
+    size = lambda sentence: sum(len(x) for t, x in blocks if (t in constant) == sentence and (not sentence or len(x.split()) >= SENTENCE))
     if size(True) > size(False):
-        constant = {t for t, x, _ in blocks if t in constant and len(x.split()) < SENTENCE}
-    return "\n".join(text for token, text, _ in blocks if token not in constant)
+        constant = {t for t, x in blocks if t in constant and len(x.split()) < SENTENCE}
+    return "\n".join(text for token, text in blocks if token not in constant)
+
+
+def packed(page: str) -> bytes:
+    """The page's blocks, compressed: all that extract() needs of it, and much less than the page."""
+    return zlib.compress(json.dumps([(token, text) for token, text, _ in slots(page)[1]], ensure_ascii=False).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(data: bytes) -> list[tuple[str, str]]:
+    return [(token, text) for token, text in json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -318,13 +332,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     in a block becomes one blank, blocks are trimmed and joined by a line end; empty blocks and the host's constant ones are left
     out, nothing else.
     """
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType())])
+    keys = [pages.schema["page_id"], pages.schema["url"]]
+    blocks_of = T.StructType([*keys, T.StructField("__ql_host", T.StringType()), T.StructField("__ql_salt", T.IntegerType()), T.StructField("blocks", T.BinaryType())])
+    schema = T.StructType([*keys, T.StructField("text", T.StringType())])
 
-    def run(batches):
+    def pack(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "html"):
-            texts = [extract(page, template) for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            blocks = [packed(page) for page in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, pa.binary())], blocks_of.names)
+
+    def fill(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "blocks"):
+            texts = [filled(unpacked(blocks), template) for blocks, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema.names)
 
     # hosts with very many pages, of which there are few, are dealt to several tasks
@@ -333,9 +356,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = saved(templates(pages))
     large = F.broadcast(known.where(F.col("pages") > TOGETHER).select(F.col("host").alias("__ql_large"), parts.alias("__ql_parts")))
     salt = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("__ql_parts", F.lit(1))).cast("int")
-    own = own.join(large, F.col("__ql_host") == F.col("__ql_large"), "left").withColumn("__ql_salt", salt)
-    known = known.select(F.col("host").alias("__ql_host"), "template", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__ql_salt"))
-    return own.join(known, ["__ql_host", "__ql_salt"], "left").select("page_id", "url", "html", "template").mapInArrow(run, schema)
+    own = own.join(large, F.col("__ql_host") == F.col("__ql_large"), "left").select("page_id", "url", "__ql_host", salt.alias("__ql_salt"), "html")
+    # pages stay where they are; their blocks, which are a small part of them, meet the template's text tokens
+    own = own.mapInArrow(pack, blocks_of)
+    texts = F.filter("template", lambda t: F.substring(t, 1, 1).isin("~", "="))
+    known = known.select(F.col("host").alias("__ql_host"), texts.alias("template"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__ql_salt"))
+    return own.join(known, ["__ql_host", "__ql_salt"], "left").select("page_id", "url", "blocks", "template").mapInArrow(fill, schema)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

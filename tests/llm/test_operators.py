@@ -750,3 +750,16 @@ def test_pages_equal_their_articles(spark):
         parts = re.split(r"</?(?:p|h1|br)>", re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1])
         want = "\n".join(x for x in (" ".join(unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in parts) if x)
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_blocks_meet_the_template_instead_of_pages(spark):
+    """Only an article's blocks and a template's text tokens are shuffled, not the page."""
+    texts = ["a\nb é\U0001f600 \ud800", "", "x" * 500]
+    page = "".join(f"<p>{t}</p>" for t in texts)
+    assert html.unpacked(html.packed(page)) == [(t, x) for t, x, _ in html.slots(page)[1]] and html.unpacked(html.packed("")) == []
+    shell = "<nav>" + "<a href='/somewhere/else'>away</a>" * 50 + "</nav>"
+    rows = [(1, "http://h.example/1", f"{shell}<article><p>one</p></article>"), (2, None, None), (2, None, None), (None, "http://h.example/1", f"{shell}<article><p>two</p></article>")]
+    out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(map(str, ((r.page_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, "one"), (2, ""), (2, ""), (None, "two")]))
+    joined = out._jdf.queryExecution().analyzed().children().apply(0).schema().simpleString()
+    assert "html" not in joined and "blocks:binary" in joined
