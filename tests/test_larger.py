@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quadloom.operators import keys, pyramid
+from quadloom.plans import build_queries
 from quadloom.plans.queries import QUERIES, SQL
 from quadloom.sources import raster
 
@@ -85,3 +86,14 @@ def test_python_gets_small_batches_of_tiles(spark):
     spark.conf.unset(name)
     pyramid.from_pixels(spark.createDataFrame([], "tx int, ty int, ix int, iy int, g int, a int"), 6, 2)
     assert spark.conf.get(name) == "4m"
+
+
+def test_strips_are_written_many_at_a_time(spark, tall, tmp_path, monkeypatch):
+    calls, put_all = [], build_queries.put_all
+    monkeypatch.setattr(build_queries, "put_all", lambda spark, files: (calls.append(len(files)), put_all(spark, files)))
+    monkeypatch.setattr(build_queries, "HELD", 5)
+    rows = build_queries.cropped(spark, tall)
+    build_queries.write_strips(spark, rows, str(tmp_path))
+    assert calls == [10, 10, 2]  # 988 rows are 11 strips, each with its sidecar; they were written one by one
+    got = raster.read_blocks(spark, str(tmp_path), 32).selectExpr("sum(w * h)", "count(distinct path)").first()
+    assert tuple(got) == (rows.count(), 11)
